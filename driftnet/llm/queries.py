@@ -41,10 +41,10 @@ def p7_merged_days(spark, sf_dir):
 
 
 _TIMINGS = """
-with t as (select id, min(source_kind) source_kind, min(stage) stage, min(seconds) seconds, min("at") at_ from enrich_timing group by id),
-r as (select source_kind, stage, {day} seconds, row_number() over (partition by source_kind, stage{part} order by seconds) rn,
- count(*) over (partition by source_kind, stage{part}) n from t where seconds is not null)
-select r.source_kind, r.stage, {out} p.p, r.n, r.seconds{error} from r join (values (0.5::double), (0.9::double), (0.99::double)) p(p)
+with t as (select id, min(source_kind) as source_kind, min(stage) as stage, min("seconds") as "seconds", min("at") as at_ from enrich_timing group by id),
+r as (select source_kind, stage, {day} "seconds", row_number() over (partition by source_kind, stage{part} order by "seconds") rn,
+ count(*) over (partition by source_kind, stage{part}) n from t where "seconds" is not null)
+select r.source_kind, r.stage, {out} p.p, r.n, r."seconds"{error} from r join (values (0.5::double), (0.9::double), (0.99::double)) p(p)
  on r.rn = greatest(1, ceil(p.p * r.n - 1e-9))
 """
 _DAY = "date '1970-01-01' + cast(floor(at_ / 86400) as integer)"
