@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftnet.llm import neighbours, percentiles
+from driftnet.llm import mixing, neighbours, packing, percentiles, splitting, tokens
 from driftnet.runtime import day_of, table
 
 
@@ -40,6 +40,59 @@ def p7_merged_days(spark, sf_dir):
     return percentiles.merged_percentiles(daily, ["source_kind", "stage"])
 
 
+def _limits(spark, sf_dir):
+    """size_limits, a parameter table of a few rows."""
+    return {r["limit_name"]: r for r in table(spark, sf_dir, "size_limits").collect()}
+
+
+def p5_found(spark, sf_dir):
+    """Contents that were split, because their text exceeds the embed_clip limit."""
+    lim = _limits(spark, sf_dir)["embed_clip"]
+    e = table(spark, sf_dir, "file_embedding")
+    tables = splitting.text_boundaries(e, "content_hash", "extracted_text", lim["max_size"])
+    return splitting.cut(tables, lim["max_size"], lim["overlap"]).where("piece > 0").select(F.col("id").alias("content_hash")).distinct()
+
+
+def p5_pieces(spark, sf_dir):
+    """The pieces of every content whose text exceeds the embed_clip limit."""
+    lim = _limits(spark, sf_dir)["embed_clip"]
+    return splitting.split_texts(table(spark, sf_dir, "file_embedding"), "content_hash", "extracted_text", lim["max_size"], lim["overlap"])
+
+
+def p8_containers(spark, sf_dir):
+    """Every text of documents in a container of each of the three pack sizes."""
+    caps = {n: r["max_size"] for n, r in _limits(spark, sf_dir).items() if n.startswith("pack_") and r["unit"] == "tokens"}
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", tokens.token_count(F.col("text")), caps)
+
+
+def p8_fill(spark, sf_dir):
+    """How full the containers of each size are."""
+    lim = table(spark, sf_dir, "size_limits").select("limit_name", "max_size")
+    return (
+        p8_containers(spark, sf_dir).groupBy("limit_name")
+        .agg(F.count(F.lit(1)).alias("items"), F.countDistinct("container_id").alias("containers"), F.sum("size").alias("tokens"))
+        .join(lim, "limit_name")
+        .select("limit_name", "items", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("max_size"))).alias("fill"))
+    )
+
+
+def _mix(spark, sf_dir):
+    targets = table(spark, sf_dir, "mix_targets")
+    texts = mixing.sized_texts(table(spark, sf_dir, "documents"), targets, "doc_id", "source", "text", tokens.token_count(F.col("text")))
+    return mixing.mix(texts, targets), texts, targets
+
+
+def p9_selection(spark, sf_dir):
+    """The texts of the mixture, with how often each is used."""
+    out, _, _ = _mix(spark, sf_dir)
+    return out.select(F.col("key").alias("doc_id"), "source", F.col("size").alias("tokens"), "copies")
+
+
+def p9_shares(spark, sf_dir):
+    """The share of all tokens that each source reaches in the mixture."""
+    return mixing.reached_shares(*_mix(spark, sf_dir))
+
+
 _TIMINGS = """
 with t as (select id, min(source_kind) as source_kind, min(stage) as stage, min("seconds") as "seconds", min("at") as at_ from enrich_timing group by id),
 r as (select source_kind, stage, {day} "seconds", row_number() over (partition by source_kind, stage{part} order by "seconds") rn,
@@ -50,6 +103,12 @@ select r.source_kind, r.stage, {out} p.p, r.n, r."seconds"{error} from r join (v
 _DAY = "date '1970-01-01' + cast(floor(at_ / 86400) as integer)"
 
 QUERIES = {
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
+    "p9_selection": p9_selection,
+    "p9_shares": p9_shares,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
     "p7_percentiles": p7_percentiles,
@@ -57,6 +116,7 @@ QUERIES = {
     "p7_merged_days": p7_merged_days,
 }
 ORACLE = {
+    "p5_found": "select content_hash from file_embedding where length(extracted_text) > (select max_size from size_limits where limit_name = 'embed_clip')",
     "p7_percentiles": _TIMINGS.format(day=f"{_DAY} as day,", part=f", {_DAY}", out="r.day,", error=", 0.0::double as error"),
     "p7_stage_percentiles": _TIMINGS.format(day="", part="", out="", error=""),
 }
