@@ -19,6 +19,7 @@ from driftnet.runtime import materialize
 
 BUCKET_ROWS = 50_000
 LARGE = 0.05
+ROUNDS = 8
 
 
 def distinct_texts(df: DataFrame, key: str, source: str, text: str, size) -> DataFrame:
@@ -66,11 +67,18 @@ def mix(texts: DataFrame, targets: DataFrame, total: float | None = None, seed:
     rng = random.Random(seed)
     if not rates:
         return texts.limit(0).withColumn("copies", F.lit(0))
-    goal = {s: rates[s] * stats[s][0] for s in rates}
-    cuts = spark.createDataFrame([(s, LARGE * goal[s]) for s in rates], "source string, _large double")
-    large = named.join(F.broadcast(cuts), "source").where(F.col("size") > F.col("_large"))  # a row a target
-    held = {r["source"]: r["n"] for r in large.groupBy("source").agg(F.sum("size").alias("n")).collect()}
-    whole = {s: int(rates[s] + 0.5) for s in rates}
+    for _ in range(ROUNDS):
+        goal = {s: rates[s] * stats[s][0] for s in rates}
+        cuts = spark.createDataFrame([(s, LARGE * goal[s]) for s in rates], "source string, _large double")
+        large = named.join(F.broadcast(cuts), "source").where(F.col("size") > F.col("_large"))  # a row a target
+        held = {r["source"]: r["n"] for r in large.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+        whole = {s: min(caps[s], int(rates[s] + 0.5)) for s in rates}
+        fits = {s: (whole[s] * held.get(s, 0) + caps[s] * (stats[s][0] - held.get(s, 0))) / goal[s] for s in rates}
+        shrink = min(fits.values())
+        if total is not None or shrink > 0.999:
+            break
+        # some source's other texts can't make up for its large ones: a smaller mixture, in which all reach their shares
+        rates = {s: rates[s] * shrink for s in rates}
     rows = []
     for s in sorted(rates):
         rest = stats[s][0] - held.get(s, 0)
