@@ -20,6 +20,8 @@ from driftnet.runtime import materialize
 BUCKET_ROWS = 50_000
 LARGE = 0.05
 ROUNDS = 8
+#: The mixture isn't made smaller than this part of what the caps allow; beyond it a source falls short instead.
+LEAST = 0.5
 
 
 def distinct_texts(df: DataFrame, key: str, source: str, text: str, size) -> DataFrame:
@@ -67,6 +69,7 @@ def mix(texts: DataFrame, targets: DataFrame, total: float | None = None, seed:
     rng = random.Random(seed)
     if not rates:
         return texts.limit(0).withColumn("copies", F.lit(0))
+    kept = 1.0
     for _ in range(ROUNDS):
         goal = {s: rates[s] * stats[s][0] for s in rates}
         cuts = spark.createDataFrame([(s, LARGE * goal[s]) for s in rates], "source string, _large double")
@@ -75,8 +78,9 @@ def mix(texts: DataFrame, targets: DataFrame, total: float | None = None, seed:
         whole = {s: min(caps[s], int(rates[s] + 0.5)) for s in rates}
         fits = {s: (whole[s] * held.get(s, 0) + caps[s] * (stats[s][0] - held.get(s, 0))) / goal[s] for s in rates}
         shrink = min(fits.values())
-        if total is not None or shrink > 0.999:
+        if total is not None or shrink > 0.999 or kept * shrink < LEAST:
             break
+        kept *= shrink
         # some source's other texts can't make up for its large ones: a smaller mixture, in which all reach their shares
         rates = {s: rates[s] * shrink for s in rates}
     rows = []
