@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftnet.llm import mixing, neighbours, packing, percentiles, splitting, tokens
+from driftnet.llm import mixing, mojibake, neighbours, packing, percentiles, splitting, tokens
 from driftnet.runtime import day_of, table
 
 
@@ -40,6 +40,18 @@ def p7_merged_days(spark, sf_dir):
     return percentiles.merged_percentiles(daily, ["source_kind", "stage"])
 
 
+def p4_restored(spark, sf_dir):
+    """Garbled values of contents and of the catalog, with the original as far as it can be restored."""
+    texts = mojibake.garbled(table(spark, sf_dir, "file_embedding"), "content_hash", {"extracted_text": "text"})
+    names = mojibake.garbled(table(spark, sf_dir, "file_catalog"), "id", {"filename": "text", "path": "path"})
+    return texts.unionByName(names)
+
+
+def p4_found(spark, sf_dir):
+    """Which values were decoded with a wrong encoding, restorable or not."""
+    return p4_restored(spark, sf_dir).select("field_name", "record_key")
+
+
 def _limits(spark, sf_dir):
     """size_limits, a parameter table of a few rows."""
     return {r["limit_name"]: r for r in table(spark, sf_dir, "size_limits").collect()}
@@ -103,6 +115,8 @@ select r.source_kind, r.stage, {out} p.p, r.n, r."seconds"{error} from r join (v
 _DAY = "date '1970-01-01' + cast(floor(at_ / 86400) as integer)"
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_restored": p4_restored,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p8_containers": p8_containers,
