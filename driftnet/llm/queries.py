@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftnet.llm import mixing, mojibake, neighbours, packing, percentiles, splitting, tokens
+from driftnet.llm import mixing, mojibake, neighbours, packing, percentiles, residue, splitting, tokens
 from driftnet.runtime import day_of, table
 
 
@@ -18,6 +18,22 @@ def p3_neighbours(spark, sf_dir):
     return neighbours.nearest(table(spark, sf_dir, "vec_embedding"), "content_hash", "embedding")
 
 
+def p10_judged(spark, sf_dir):
+    """Coverage by residue and unfilled placeholders of every text of documents."""
+    return residue.judged(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+def p10_found(spark, sf_dir):
+    """Texts that are template residue, filler, an error message or a script notice."""
+    return p10_judged(spark, sf_dir).where("residue").select("doc_id").distinct()
+
+
+def p10_kept(spark, sf_dir):
+    """The documents that remain once residue is left out."""
+    d = table(spark, sf_dir, "documents")
+    return d.join(p10_found(spark, sf_dir), "doc_id", "left_anti")
+
+
 def _timings(spark, sf_dir):
     t = table(spark, sf_dir, "enrich_timing")
     return percentiles.once_per_id(t, "id", ["source_kind", "stage", "seconds", "at"]).withColumn("day", day_of(F.col("at")))
@@ -123,6 +139,9 @@ QUERIES = {
     "p8_fill": p8_fill,
     "p9_selection": p9_selection,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_judged": p10_judged,
+    "p10_kept": p10_kept,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
     "p7_percentiles": p7_percentiles,
