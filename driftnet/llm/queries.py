@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftnet.llm import mixing, mojibake, neighbours, packing, percentiles, residue, splitting, tokens
+from driftnet.llm import mixing, mojibake, neighbours, packing, percentiles, residue, scans, splitting, tokens
 from driftnet.runtime import day_of, table
 
 
@@ -87,6 +87,16 @@ def p5_pieces(spark, sf_dir):
     return splitting.split_texts(table(spark, sf_dir, "file_embedding"), "content_hash", "extracted_text", lim["max_size"], lim["overlap"])
 
 
+def _scans(spark, sf_dir):
+    return scans.label_lines(table(spark, sf_dir, "file_embedding"), "content_hash", "extracted_text")
+
+
+def p6_found(spark, sf_dir):
+    """The faulty lines of scanned pages, by kind of fault."""
+    lines, words = _scans(spark, sf_dir)
+    return scans.faults(lines, words).select(F.col("id").alias("content_hash"), "line_no", "fault")
+
+
 def p8_containers(spark, sf_dir):
     """Every text of documents in a container of each of the three pack sizes."""
     caps = {n: r["max_size"] for n, r in _limits(spark, sf_dir).items() if n.startswith("pack_") and r["unit"] == "tokens"}
@@ -135,6 +145,7 @@ QUERIES = {
     "p4_restored": p4_restored,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p6_found": p6_found,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
     "p9_selection": p9_selection,
