@@ -4,8 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftnet.llm import mixing, mojibake, neighbours, packing, percentiles, residue, scans, splitting, tokens
-from driftnet.runtime import day_of, table
+from driftnet.llm import emails, mixing, mojibake, neighbours, packing, percentiles, residue, scans, splitting, tokens
+from driftnet.runtime import day_of, materialize, table
+
+
+def _mail_lines(spark, sf_dir):
+    mails = materialize(emails.mail_contents(table(spark, sf_dir, "file_embedding"), table(spark, sf_dir, "file_catalog")), "mails")
+    return emails.marked_lines(mails, emails.learn_closings(mails))
+
+
+def p2_found(spark, sf_dir):
+    """The lines of e-mails that their sender newly wrote."""
+    return _mail_lines(spark, sf_dir).where("mark = 'N'").select(F.col("id").alias("content_hash"), "line_no")
+
+
+def p2_reduced(spark, sf_dir):
+    """Each e-mail reduced to what its sender newly wrote, paragraphs kept."""
+    lines = _mail_lines(spark, sf_dir).where("mark in ('N', 'B')").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    text = F.concat_ws("\n", F.transform("l", lambda x: F.regexp_replace(x["line"], "\\s+$", "")))
+    return lines.select(F.col("id").alias("content_hash"), F.trim(F.regexp_replace(text, "\n{3,}", "\n\n")).alias("new_text"))
 
 
 def p3_found(spark, sf_dir):
@@ -141,6 +158,8 @@ select r.source_kind, r.stage, {out} p.p, r.n, r."seconds"{error} from r join (v
 _DAY = "date '1970-01-01' + cast(floor(at_ / 86400) as integer)"
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_reduced": p2_reduced,
     "p4_found": p4_found,
     "p4_restored": p4_restored,
     "p5_found": p5_found,
