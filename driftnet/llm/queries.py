@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftnet.llm import emails, mixing, mojibake, neighbours, packing, percentiles, residue, scans, splitting, tokens
+from driftnet.llm import emails, mixing, mojibake, near_duplicates, neighbours, packing, percentiles, residue, scans, splitting, tokens
 from driftnet.runtime import day_of, materialize, table
 
 
+def p1_found(spark, sf_dir):
+    """Pairs of contents whose texts share at least 0.6 of their runs of three words."""
+    pairs = near_duplicates.similar_pairs(table(spark, sf_dir, "file_embedding"), "content_hash", "extracted_text")
+    return pairs.select("content_hash_a", "content_hash_b")
+
+
+def p1_groups(spark, sf_dir):
+    """The class of every content that has a near duplicate, its links, and the catalog paths that carry it."""
+    pairs, members = near_duplicates.similar_sets(table(spark, sf_dir, "file_embedding"), "content_hash", "extracted_text")
+    found = near_duplicates.classes(pairs, members)
+    sizes = found.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).where("class_size > 1")
+    paths = table(spark, sf_dir, "file_catalog").where("content_hash is not null").select(F.col("content_hash").alias("id"), "path")
+    return found.join(sizes, "class_id").join(paths, "id", "left").select(F.col("id").alias("content_hash"), "class_id", "class_size", "links", "path")
+
+
 def _mail_lines(spark, sf_dir):
     mails = materialize(emails.mail_contents(table(spark, sf_dir, "file_embedding"), table(spark, sf_dir, "file_catalog")), "mails")
     return emails.marked_lines(mails, emails.learn_closings(mails))
@@ -158,6 +173,8 @@ select r.source_kind, r.stage, {out} p.p, r.n, r."seconds"{error} from r join (v
 _DAY = "date '1970-01-01' + cast(floor(at_ / 86400) as integer)"
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_reduced": p2_reduced,
     "p4_found": p4_found,
