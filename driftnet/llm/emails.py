@@ -280,7 +280,9 @@ def learn_closings(mails: DataFrame) -> Closings:
 
     def collect(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"s": [s for t in pdf["text"] for s in set(notices(t))]}, columns=["s"])
+            found = [s for t in pdf["text"] for s in sorted(set(notices(t)))]
+            if found:
+                yield pd.DataFrame({"s": pd.Series(found, dtype=object)})
 
     top = spread(mails.select("text")).mapInPandas(collect, "s string").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     rows = top.orderBy(F.desc("n"), "s").limit(DICTIONARY // 12).collect()
