@@ -149,42 +149,6 @@ def features(df: DataFrame, key: str, text: str) -> DataFrame:
     return spread(rows).mapInPandas(run, "id string, rep long, size int, point binary, cells array<long>")
 
 
-def _shared_cells(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by cell: those of cells with more than one set, numbered within the cell into blocks."""
-    last_cell = last_row = None
-    at = 0
-
-    def numbered(cell, rep):
-        nonlocal last_cell, last_row, at
-        # a cell's first row is held back until a second one comes
-        n = len(cell)
-        new = np.empty(n, bool)
-        new[0] = last_cell is None or cell[0] != last_cell
-        new[1:] = cell[1:] != cell[:-1]
-        first = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-        place = np.arange(n) - np.where(first >= 0, first, 0) + np.where(first >= 0, 0, at)
-        cs, rs, ps = [], [], []
-        if not new[0] and at == 1:
-            cs.append([last_cell])
-            rs.append([last_row])
-            ps.append([0])
-        ends = np.append(new[1:], False)
-        single = new & ends
-        keep = ~single
-        if n and new[-1]:
-            keep[-1] = False
-        cs.append(cell[keep])
-        rs.append(rep[keep])
-        ps.append(place[keep])
-        at = int(place[-1]) + 1
-        last_cell, last_row = cell[-1], rep[-1]
-        return pd.DataFrame({"cell": np.concatenate(cs).astype(np.int64), "rep": np.concatenate(rs).astype(np.int64), "block": (np.concatenate(ps) // BLOCK).astype(np.int32)})
-
-    for pdf in batches:
-        if len(pdf):
-            yield numbered(pdf["cell"].to_numpy(), pdf["rep"].to_numpy())
-
-
 def _join_blocks(batches: Iterable[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
     """Rows sorted by (cell, left block, right block): each group is one tree, or two that are joined."""
     held: list[pd.DataFrame] = []
@@ -248,15 +212,13 @@ def candidates(points: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ``points`` has rep, size, point, cells, one row a set.
     """
     rows = points.select("rep", F.explode("cells").alias("cell"))
-    shared = rows.repartition("cell").sortWithinPartitions("cell", "rep").mapInPandas(_shared_cells, "cell long, rep long, block int")
-    shared = materialize(shared, "cells")
+    # counts are combined before they move, so that a hot cell is one row a task; its rows are then dealt to blocks
+    crowded = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = rows.join(crowded, "cell").select("cell", "rep", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    shared = materialize(shared.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "cells")
     # a cell of several blocks is joined block by block; nearly all cells have one
-    blocks = shared.where("block > 0").groupBy("cell").agg(F.max("block").alias("last"))
-    last = F.coalesce("last", F.lit(0))
-    tiled = shared.join(blocks, "cell", "left").select(
-        "cell", "rep", "block",
-        F.explode(F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.least("block", k).alias("left"), F.greatest("block", k).alias("right")))).alias("t"),
-    )
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("left"), F.greatest("block", k).alias("right")))
+    tiled = shared.select("cell", "rep", "block", F.explode(pairs).alias("t"))
     tiled = tiled.select("cell", "rep", "block", "t.left", "t.right").join(points.select("rep", "point"), "rep")
     ordered = tiled.repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right")
     found = ordered.mapInPandas(lambda batches: _join_blocks(batches, threshold), "a long, b long")

@@ -37,7 +37,7 @@ def p2_reduced(spark, sf_dir):
     """Each e-mail reduced to what its sender newly wrote, paragraphs kept."""
     lines = _mail_lines(spark, sf_dir).where("mark in ('N', 'B')").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
     text = F.concat_ws("\n", F.transform("l", lambda x: F.regexp_replace(x["line"], "\\s+$", "")))
-    return lines.select(F.col("id").alias("content_hash"), F.trim(F.regexp_replace(text, "\n{3,}", "\n\n")).alias("new_text"))
+    return lines.select(F.col("id").alias("content_hash"), F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), "^\\s+|\\s+$", "").alias("new_text"))
 
 
 def p3_found(spark, sf_dir):
