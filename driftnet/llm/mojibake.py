@@ -88,6 +88,8 @@ def window_cost(w: str) -> float:
         if 0x80 <= o < 0xA0:
             cost += 3
             continue
+        if (c == "√" and ord(after) >= 0x80 and not after.isspace()) or (c == "‚" and after == "Ä"):
+            cost += 0.8  # lead bytes of UTF-8 under mac_roman, wherever they stand
         kind = unicodedata.category(c)
         if kind[0] == "M":
             cost += 0 if before.isalpha() else 1

@@ -54,6 +54,8 @@ def once_per_id(df: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame
 
 def _prepared(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Internal names, so that no column of the caller clashes; null and NaN values are not counted."""
+    if reserved := {"p", "n", "cell", "low", "high"} & set(keys):
+        raise ValueError(f"rename the keys {sorted(reserved)}: results have columns of these names")
     cols = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
     v = F.col(value).cast("double")
     return df.where(v.isNotNull() & ~F.isnan(v)).select(*cols, _to_bits(v).alias("_b"))
@@ -136,5 +138,6 @@ def merged_percentiles(histogram: DataFrame, keys: Sequence[str], probs: Sequenc
     low = F.shiftleft("cell", 64 - bits)
     return h.select(
         *[F.col(k).alias(name) for k, name in zip(ks, keys, strict=True)], "p", "n",
-        _to_value(low).alias("low"), _to_value(low.bitwiseOR((1 << (64 - bits)) - 1)).alias("high"),
+        # bit patterns past the infinities are no numbers
+        F.coalesce(_to_value(low), F.lit(float("-inf"))).alias("low"), F.coalesce(_to_value(low.bitwiseOR((1 << (64 - bits)) - 1)), F.lit(float("inf"))).alias("high"),
     )
