@@ -129,6 +129,11 @@ def p6_found(spark, sf_dir):
     return scans.faults(lines, words).select(F.col("id").alias("content_hash"), "line_no", "fault")
 
 
+def p6_paragraphs(spark, sf_dir):
+    """Scanned contents as continuous paragraphs, repaired."""
+    return scans.paragraphs(*_scans(spark, sf_dir)).withColumnRenamed("id", "content_hash")
+
+
 def p8_containers(spark, sf_dir):
     """Every text of documents in a container of each of the three pack sizes."""
     caps = {n: r["max_size"] for n, r in _limits(spark, sf_dir).items() if n.startswith("pack_") and r["unit"] == "tokens"}
@@ -182,6 +187,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
+    "p6_paragraphs": p6_paragraphs,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
     "p9_selection": p9_selection,

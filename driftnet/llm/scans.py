@@ -125,7 +125,14 @@ def viterbi(emit: np.ndarray, feeds: list[bool]) -> list[int]:
 
 
 def scanned_lines(text: str) -> list[tuple[int, str, int]] | None:
-    """(line number from 1, line without label, chain label) of the non-blank lines of a scanned text, else None.
+    """(line number from 1, line without label, chain label) of the non-blank lines of a scanned text, else None; see
+    :func:`layout`."""
+    found = layout(text)
+    return None if found is None else [x[:3] for x in found]
+
+
+def layout(text: str) -> list[tuple[int, str, int, bool]] | None:
+    """(line number from 1, line without label, chain label, blank line before) of the non-blank lines of a scanned text, else None.
 
     Scanned means: lines wrapped to one width, not an e-mail, and page furniture, form feeds or words broken at line ends.
     """
@@ -164,7 +171,7 @@ def scanned_lines(text: str) -> list[tuple[int, str, int]] | None:
     firm = any(f != BODY and (STRONG_NUMBER.fullmatch(s.strip()) or TITLE_NUMBER.fullmatch(s)) for f, s in zip(labels, lines, strict=True))
     if not (any(feeds) or marks or firm or furniture and hyphens or first and furniture or hyphens > 1 or furniture > 1):
         return None
-    return list(zip(numbers, lines, labels, strict=True))
+    return list(zip(numbers, lines, labels, gaps, strict=True))
 
 
 #: What recognition takes a letter or pair for: seen, meant.
@@ -215,22 +222,22 @@ def _scan_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for key, text in zip(pdf["id"], pdf["text"], strict=True):
-            lines = scanned_lines(text)
+            lines = layout(text)
             if lines is None:
                 continue
-            for at, (no, line, label) in enumerate(lines):
+            for at, (no, line, label, gap) in enumerate(lines):
                 joined = apart = None
                 marked = misread = False
                 if label == BODY:
                     misread = bool(_INSIDE.search(line) or _BAD_NUMBER.search(line))
                     m = re.search(rf"([^\W_]+(?:['’-][^\W_]+)*)([{HYPHENS}])\s?\Z", line)
-                    after = next((x for _, x, lab in lines[at + 1 :] if lab == BODY), "") if m else ""
+                    after = next((x for _, x, lab, _ in lines[at + 1 :] if lab == BODY), "") if m else ""
                     n = re.match(r"\s*([^\W_]+(?:-[^\W_]+)*)", after)
                     if m and n and m[1][-1].isalpha():
                         marked = m[2] in BREAK_MARKS
                         joined, apart = (m[1] + n[1]).lower(), (m[1] + "-" + n[1]).lower()
-                rows.append((key, no, "body" if label == BODY else "furniture", line, joined, apart, marked, misread))
-        yield pd.DataFrame(rows, columns=["id", "line_no", "label", "line", "joined", "apart", "marked", "misread"])
+                rows.append((key, no, "body" if label == BODY else "furniture", line, joined, apart, marked, misread, gap))
+        yield pd.DataFrame(rows, columns=["id", "line_no", "label", "line", "joined", "apart", "marked", "misread", "gap"])
 
 
 def _word_counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,37 +270,102 @@ def _candidate_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def misread_tokens(line_tokens: DataFrame, words: DataFrame, ratio: int = 12, least: int = 4) -> DataFrame:
-    """Column token: those whose best correction is ``ratio`` times as common in the collection as themselves, and at least
+    """Columns token, fix: tokens whose best correction is ``ratio`` times as common in the collection as themselves, and at least
     ``least`` times there; a token with a sign or digit between letters needs a correction found at least twice."""
     cands = line_tokens.select("token").distinct().mapInPandas(_candidate_rows, "token string, word string, kind int, signed boolean")
     known = cands.join(words, "word", "left").groupBy("token", "signed").agg(
-        F.max(F.when(F.col("kind") == 0, F.coalesce("n", F.lit(0)))).alias("own"), F.max(F.when(F.col("kind") == 1, F.coalesce("n", F.lit(0)))).alias("best")
+        F.max(F.when(F.col("kind") == 0, F.coalesce("n", F.lit(0)))).alias("own"), F.max(F.when(F.col("kind") == 1, F.coalesce("n", F.lit(0)))).alias("best"), F.max_by("word", F.when(F.col("kind") == 1, F.struct("n", "word"))).alias("fix"),
     )
     best, own = F.coalesce("best", F.lit(0)), F.coalesce("own", F.lit(0))
-    return known.where(F.when(F.col("signed"), best >= 2).otherwise((best >= least) & (best >= ratio * own))).select("token")
+    return known.where(F.when(F.col("signed"), best >= 2).otherwise((best >= least) & (best >= ratio * own))).select("token", "fix")
 
 
 def label_lines(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(lines of scanned texts with their labels, word counts over all texts)."""
     rows = df.where(F.col(key).isNotNull() & (F.length(F.col(text)) > 0)).select(F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("text"))
-    lines = spread(rows).mapInPandas(_scan_rows, "id string, line_no long, label string, line string, joined string, apart string, marked boolean, misread boolean")
+    lines = spread(rows).mapInPandas(_scan_rows, "id string, line_no long, label string, line string, joined string, apart string, marked boolean, misread boolean, gap boolean")
     words = spread(rows.select("text")).mapInPandas(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return materialize(lines, "scan-lines"), materialize(words.where("n > 1"), "words")
 
 
-def faults(lines: DataFrame, words: DataFrame) -> DataFrame:
-    """Columns id, line_no, fault: furniture, broken or misread."""
-    body = lines.where("label = 'body'")
-    furniture = lines.where("label = 'furniture'").select("id", "line_no", F.lit("furniture").alias("fault"))
+def _broken(body: DataFrame, words: DataFrame) -> DataFrame:
+    """Columns id, line_no: body lines that end inside a word, as the counts of the joined and the hyphenated form tell."""
     ends = body.where("joined is not null")
     forms = ends.select(F.explode(F.array("joined", "apart")).alias("word")).distinct().join(words, "word")
     seen = ends.join(forms.select(F.col("word").alias("joined"), F.col("n").alias("as_one")), "joined", "left")
     seen = seen.join(forms.select(F.col("word").alias("apart"), F.col("n").alias("as_two")), "apart", "left")
     one, two = F.coalesce("as_one", F.lit(0)), F.coalesce("as_two", F.lit(0))
-    broken = seen.where(F.col("marked") | (two == 0) | (one > two)).select("id", "line_no", F.lit("broken").alias("fault"))
+    return seen.where(F.col("marked") | (two == 0) | (one > two)).select("id", "line_no")
+
+
+def faults(lines: DataFrame, words: DataFrame) -> DataFrame:
+    """Columns id, line_no, fault: furniture, broken or misread."""
+    body = lines.where("label = 'body'")
+    furniture = lines.where("label = 'furniture'").select("id", "line_no", F.lit("furniture").alias("fault"))
+    broken = _broken(body, words).withColumn("fault", F.lit("broken"))
     toks = body.select("id", "line_no", "line", "apart").mapInPandas(_token_rows, "id string, line_no long, token string")
     bad = misread_tokens(toks, words)
     misread = toks.join(bad, "token", "left_semi").select("id", "line_no")
     numbers = body.where("misread").select("id", "line_no")
     misread = misread.unionByName(numbers).distinct().withColumn("fault", F.lit("misread"))
     return furniture.unionByName(broken).unionByName(misread)
+
+
+def _mend(line: str, fixes: dict[str, str]) -> str:
+    """A line with its misread tokens replaced, capitals kept; signs inside unknown words by what they are mostly taken for."""
+
+    def one(m: re.Match) -> str:
+        t = m.group()
+        core = t.rstrip("!")
+        fix = fixes.get(core.lower())
+        if fix is None and _INSIDE.search(core) and any(c.islower() for c in core):
+            fix = core.lower().translate(str.maketrans({"@": "a", "!": "i", "|": "l", "0": "o", "1": "l", "5": "s", "6": "b", "8": "b", "9": "g"}))
+        if fix is None:
+            return t
+        capital = core[:1].isupper() or not core[:1].isalpha() and core[1:2].isupper()
+        return (core.isupper() and fix.upper() or capital and fix[:1].upper() + fix[1:] or fix) + t[len(core) :]
+
+    return _TOKEN.sub(one, line)
+
+
+def assemble(rows: list[tuple[int, str, bool, bool, dict[str, str]]]) -> list[str]:
+    """Paragraphs from body lines in order: (line number, line, blank line before, ends in a broken word, fixes).
+
+    A blank line ends a paragraph unless the sentence goes on over it (a page turn); rows of lists stay lines of their own.
+    """
+    out: list[str] = []
+    glue = None
+    for _, line, gap, broken, fixes in rows:
+        s = _mend(line.strip(), fixes)
+        own = bool(LIST_ROW.fullmatch(s) or BARE_NUMBER.fullmatch(s))
+        goes_on = bool(out) and glue is not None and (glue == "" or not gap or out[-1][-1:] not in ".?!:" and s[:1].islower()) and not own
+        if goes_on:
+            out[-1] += glue + s
+        else:
+            out.append(s)
+        if broken and s[-1:] in HYPHENS:
+            out[-1] = out[-1][:-1]
+            glue = ""
+        else:
+            glue = None if own else "" if s[-1:] == "-" and s[-2:-1].isalpha() else " "
+    return out
+
+
+def paragraphs(lines: DataFrame, words: DataFrame) -> DataFrame:
+    """Columns id, paragraph_no (from 1), text: the scanned texts without furniture, broken words joined, misread words mended."""
+    body = lines.where("label = 'body'")
+    broken = _broken(body, words).withColumn("broken", F.lit(True))
+    toks = body.select("id", "line_no", "line", "apart").mapInPandas(_token_rows, "id string, line_no long, token string")
+    fixes = toks.join(misread_tokens(toks, words), "token").groupBy("id", "line_no").agg(F.collect_list(F.struct("token", "fix")).alias("fixes"))  # of one line
+    rows = body.select("id", "line_no", "line", "gap").join(broken, ["id", "line_no"], "left").join(fixes, ["id", "line_no"], "left")
+    texts = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "gap", F.coalesce("broken", F.lit(False)).alias("broken"), "fixes"))).alias("rows"))  # of one text
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, own in zip(pdf["id"], pdf["rows"], strict=True):
+                made = assemble([(r["line_no"], r["line"], r["gap"], r["broken"], {f["token"]: f["fix"] for f in r["fixes"]} if r["fixes"] is not None else {}) for r in own])
+                out += [(key, i, t) for i, t in enumerate(made, 1)]
+            yield pd.DataFrame(out, columns=["id", "paragraph_no", "text"])
+
+    return texts.mapInPandas(run, "id string, paragraph_no int, text string")

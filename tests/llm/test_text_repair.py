@@ -138,5 +138,8 @@ def test_scanned_page(spark):
     lines, words = scans.label_lines(df, "content_hash", "extracted_text")
     got = {(r["line_no"], r["fault"]) for r in scans.faults(lines, words).collect() if r["id"] == "p"}
     assert got == {(1, "furniture"), (9, "furniture"), (10, "furniture"), (12, "furniture"), (3, "broken"), (5, "misread"), (8, "misread")}
+    text = [r["text"] for r in scans.paragraphs(lines, words).where("id = 'p'").orderBy("paragraph_no").collect()]
+    assert text[0].startswith("The garden wall was painted in May and the kettle stands on the newspaper that") and "well-known and the moon is bright" in text[0]
+    assert text[1] == "list of words 12" and text[2].startswith("The kettle stands there")
     a, b = scans.label_lines(df.limit(0), "content_hash", "extracted_text")
     assert scans.faults(a, b).count() == 0
