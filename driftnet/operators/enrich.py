@@ -97,13 +97,25 @@ def captioned(contents: DataFrame, captions: DataFrame) -> DataFrame:
     return j.select(*[new.get(x, F.col(x)).alias(x) for x in contents.columns])
 
 
-def failure_streaks(outcomes: DataFrame, order: str = "seq") -> DataFrame:
+def failure_streaks(outcomes: DataFrame, order: str = "seq", rows: int = 100_000) -> DataFrame:
     """``outcomes`` (order, ok, blames_model) with the running count of failures that blame the model: one that doesn't blame
-    it leaves the count, a success resets it. For one batch of outcomes: the order is total, so it runs in one task."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    island = outcomes.withColumn("_island", F.sum(F.col("ok").cast("int")).over(w))
-    run = Window.partitionBy("_island").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return island.withColumn("streak", F.sum((~F.col("ok") & F.col("blames_model")).cast("int")).over(run)).drop("_island")
+    it leaves the count, a success resets it. The order (a whole number, null for none) is cut into ranges of ``rows``: counts run
+    within a range, and what each hands on is found from one row a range, so no task sees the whole order."""
+    blame = (~F.col("ok") & F.col("blames_model")).cast("int")
+    o = outcomes.withColumn("_range", F.floor(F.col(order) / rows))
+    run = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    o = o.withColumn("_island", F.sum(F.col("ok").cast("int")).over(run))
+    island = Window.partitionBy("_range", "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    o = o.withColumn("streak", F.sum(blame).over(island))
+    ends = o.groupBy("_range").agg(F.max("_island").alias("resets"), F.max_by("streak", order).alias("tail"))
+    chain = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a range
+    ends = ends.withColumn("_chain", F.sum((F.col("resets") > 0).cast("int")).over(chain))
+    sums = Window.partitionBy("_chain").orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    handed = F.lag(F.sum("tail").over(sums)).over(Window.orderBy("_range"))
+    ends = ends.select(F.col("_range").alias("_r"), F.coalesce(handed, F.lit(0)).alias("_handed"))
+    out = o.join(ends, F.col("_range").eqNullSafe(F.col("_r")))
+    streak = F.col("streak") + F.when(F.col("_island") == 0, F.col("_handed")).otherwise(0)
+    return out.withColumn("streak", streak).drop("_range", "_island", "_r", "_handed")
 
 
 def systemic(streaks: DataFrame, limit: int = STREAK_LIMIT) -> bool:
