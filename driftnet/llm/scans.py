@@ -34,7 +34,8 @@ STRONG_NUMBER = re.compile(
 BARE_NUMBER = re.compile(rf"\s*{_NUMBER}\s*")
 ROMAN_NUMBER = re.compile(r"\s*(?=[ivxl1!]+\s*\Z)[ivxl1!]{1,7}\s*")
 TITLE_NUMBER = re.compile(rf"\s*(?:\S.*?\S\s{{2,}}{_NUMBER}|{_NUMBER}\s{{2,}}\S.*)\s*")
-LIST_ROW = re.compile(r"\s*[^\W\d_A-ZÀ-Ý].*\s\d{1,3}\s*")
+LIST_ROW = re.compile(r"\s*(?![A-ZÀ-Ý\d_])(?:[^\s.,;:!?]+\s+){1,6}\d{1,3}\s*")
+ANY_ROW = re.compile(r"\s*(?!\d)(?:[^\s.,;:!?]+\s+){1,5}\d{1,3}\s*")
 _CELLS = re.compile(r"[,;\t]\s?[-+£$€]?\d")
 MAIL = re.compile(r"\A\s*(?:From|De|Von|Subject|Betreff|Objet|Asunto|To|An|À|Para)\s?:.*\n(?:.+\n)*?(?:To|An|À|A|Para|Subject|Betreff|Objet|Asunto|Date|Datum|Fecha)\s?:", re.I)
 
@@ -178,7 +179,7 @@ def layout(text: str) -> list[tuple[int, str, int, bool]] | None:
 CONFUSED = (
     ("@", "a"), ("0", "o"), ("!", "i"), ("5", "s"), ("c", "e"), ("1", "l"), ("f", "t"), ("9", "g"), ("ii", "u"), ("cl", "d"), ("rn", "m"),
     ("li", "h"), ("vv", "w"), ("6", "é"), ("8", "b"), ("|", "i"), ("m", "rn"), ("d", "cl"), ("0", "ó"), ("@", "á"), ("1", "i"), ("!", "l"), ("|", "l"),
-    ("e", "c"), ("t", "f"), ("h", "li"), ("u", "ii"), ("w", "vv"), ("6", "b"), ("$", "s"), ("€", "e"),
+    ("e", "c"), ("t", "f"), ("h", "li"), ("u", "ii"), ("w", "vv"), ("6", "b"), ("$", "s"), ("€", "e"), ("fi", "ñ"),
 )
 _TOKEN = re.compile(r"[\w@!|$]+(?:['’][\w@!|$]+)*")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
@@ -337,7 +338,8 @@ def assemble(rows: list[tuple[int, str, bool, bool, dict[str, str]]]) -> list[st
     glue = None
     for _, line, gap, broken, fixes in rows:
         s = _mend(line.strip(), fixes)
-        own = bool(LIST_ROW.fullmatch(s) or BARE_NUMBER.fullmatch(s))
+        after_row = glue is None or out[-1][-1:] in ".?!:"
+        own = bool(BARE_NUMBER.fullmatch(s) or len(s) < 45 and after_row and ANY_ROW.fullmatch(s))
         goes_on = bool(out) and glue is not None and (glue == "" or not gap or out[-1][-1:] not in ".?!:" and s[:1].islower()) and not own
         if goes_on:
             out[-1] += glue + s
