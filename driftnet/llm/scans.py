@@ -32,7 +32,7 @@ STRONG_NUMBER = re.compile(
     re.I,
 )
 BARE_NUMBER = re.compile(rf"\s*{_NUMBER}\s*")
-ROMAN_NUMBER = re.compile(r"\s*(?=[ivxl1!]+\s*\Z)[ivxl1!]{1,7}\s*")
+ROMAN_NUMBER = re.compile(r"\s*(?=[ivxl1!]*[ivx])[ivxl1!]{1,7}\s*")
 TITLE_NUMBER = re.compile(rf"\s*(?:\S.*?\S\s{{2,}}{_NUMBER}|{_NUMBER}\s{{2,}}\S.*)\s*")
 LIST_ROW = re.compile(r"\s*(?![A-ZÀ-Ý\d_])(?:[^\s.,;:!?]+\s+){1,6}\d{1,3}\s*")
 ANY_ROW = re.compile(r"\s*(?!\d)(?:[^\s.,;:!?]+\s+){1,5}\d{1,3}\s*")
@@ -67,6 +67,9 @@ def emissions(lines: list[str], gaps: list[bool], feeds: list[bool], width: int)
     """
     n = len(lines)
     keys = Counter(_key(x) for x in lines if len(x) < 0.95 * width)
+    # pages of one text are numbered in one style: where there is another, a bare number is a cell of a list
+    styled = any(STRONG_NUMBER.fullmatch(x.strip()) or ROMAN_NUMBER.fullmatch(x.strip()) for x in lines)
+    cell = [len(x) < 45 and bool(ANY_ROW.fullmatch(x.strip()) or BARE_NUMBER.fullmatch(x)) for x in lines]
     out = np.zeros((n, 3))
     for i, line in enumerate(lines):
         s = line.strip()
@@ -79,11 +82,11 @@ def emissions(lines: list[str], gaps: list[bool], feeds: list[bool], width: int)
         elif ROMAN_NUMBER.fullmatch(s):
             f, h = (4.0 if ends_page or gaps[i] else 3.0), 0.0
         elif BARE_NUMBER.fullmatch(s):
-            row = i > 0 and LIST_ROW.fullmatch(lines[i - 1].strip()) or i + 1 < n and LIST_ROW.fullmatch(lines[i + 1].strip())
-            turns = i + 1 < n and keys[_key(lines[i + 1])] > 1 and len(_key(lines[i + 1])) > 3
+            row = i > 0 and cell[i - 1] or i + 1 < n and cell[i + 1]
+            turns = i + 1 < n and (keys[_key(lines[i + 1])] > 1 and len(_key(lines[i + 1])) > 3 or bool(TITLE_NUMBER.fullmatch(lines[i + 1])))
             inside = i > 0 and lines[i - 1].rstrip()[-1:] not in ".?!"
-            f = 3.0 if ends_page or turns else -1.0 if row else 5.0 if inside else 3.5
-            h = 2.0 if starts_page else -2.0
+            f = -2.0 if styled else 3.0 if ends_page or turns else -1.0 if row else 5.0 if inside else 3.5
+            h = 2.0 if starts_page and not styled else -2.0
         elif TITLE_NUMBER.fullmatch(s) and not _CELLS.search(s) and s[:1] not in "-•*" and s[:60].casefold() != s[:60]:
             h, f = 6.5, (6.0 if ends_page else 3.0)
         elif _CELLS.search(s):
