@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import math
 import zlib
 from abc import ABC, abstractmethod
@@ -54,6 +55,10 @@ BACKENDS = {"hashing": lambda cfg: HashingBackend(cfg.embed_dim)}
 
 
 def backend(cfg: Config) -> Backend:
+    """The backend a name stands for; "module:callable" names one that executors can import, called with the settings."""
+    if ":" in cfg.backend:
+        module, _, maker = cfg.backend.partition(":")
+        return getattr(importlib.import_module(module), maker)(cfg)
     if cfg.backend not in BACKENDS:
         raise ValueError(f"unknown backend {cfg.backend!r}; known: {', '.join(sorted(BACKENDS))}")
     return BACKENDS[cfg.backend](cfg)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from driftnet.embed import backend, embed_column
 from driftnet.operators import crawl, enrich, maintenance, status
 from driftnet.operators.store import Store
 from driftnet.runtime import materialize
-from driftnet.sources.extract import hash_and_extract
+from driftnet.sources.extract import caption_files, hash_and_extract
 from driftnet.sources.walk import walk_files
 
 
@@ -32,15 +33,34 @@ def crawl_store(store: Store, cfg: Config, now: float, roots: list[str] | None =
     return counts | {"skipped_roots": bad}
 
 
-def enrich_batch(store: Store, cfg: Config, phase: str, now: float, batch: int) -> int:
-    """One batch of a phase: hash and extract, embed what isn't stored, publish all tables at once. Files handled."""
+def caption_batch(store: Store, cfg: Config, batch: int) -> dict[str, int]:
+    """One batch of captions: each content once, whatever the outcome; texts with a caption are embedded again."""
+    catalog, contents, vectors = (store.read(n) for n in ("file_catalog", "file_embedding", "vec_embedding"))
+    files = enrich.caption_queue(catalog, contents, batch).groupBy("content_hash").agg(F.min("path").alias("path"))
+    got = materialize(caption_files(files, cfg), "captions")
+    counts = got.agg(F.count_if(F.col("error").isNull() & (F.col("caption") != "")).alias("done"), F.count(F.lit(1)).alias("n")).first()
+    if not counts["n"]:
+        return {}
+    after = enrich.captioned(contents, got)
+    told = got.where(F.col("error").isNull() & (F.col("caption") != "")).select("content_hash")
+    again = after.join(told, "content_hash", "left_semi").select("content_hash", embed_column(cfg)("extracted_text").alias("e"))
+    again = materialize(again, "captioned")
+    new = again.where("e.error is null").select("content_hash", F.col("e.embedding").alias("embedding"))
+    store.publish({"file_embedding": after, "vec_embedding": vectors.join(new.select("content_hash"), "content_hash", "left_anti").unionByName(new)})
+    return {"done": counts["done"], "failed": counts["n"] - counts["done"]}
+
+
+def enrich_batch(store: Store, cfg: Config, phase: str, now: float, batch: int) -> dict[str, int]:
+    """One batch of a phase: hash and extract, embed what isn't stored, publish all tables at once. Files by outcome."""
+    if phase == "image_caption":
+        return caption_batch(store, cfg, batch)
     catalog, contents, vectors = (store.read(n) for n in ("file_catalog", "file_embedding", "vec_embedding"))
     began = time.time()
     files = enrich.work_queue(catalog, phase, batch, now, cfg)
     got = materialize(hash_and_extract(files, cfg), "extracted")
     n = got.count()
     if not n:
-        return 0
+        return {}
     open_ = got.where("outcome is null")
     known, fresh = enrich.already_known(open_.join(files.select("id", "path", "ext", "size_bytes"), "id"), contents)
     text = open_.groupBy("content_hash").agg(F.min_by(F.struct("text", "source_kind"), "id").alias("t")).select("content_hash", "t.*")
@@ -62,7 +82,7 @@ def enrich_batch(store: Store, cfg: Config, phase: str, now: float, batch: int)
     store.publish({"enrich_timing": store.read("enrich_timing").unionByName(timing)})
     if trouble:
         raise SystemicFailure(f"{phase}: every file fails alike")
-    return n
+    return {r["outcome"]: r["count"] for r in outcomes.groupBy("outcome").count().collect()}
 
 
 def run(store: Store, cfg: Config, seconds: float, now: float, batch: int = 5_000, limit: int = 0) -> dict:
@@ -72,22 +92,26 @@ def run(store: Store, cfg: Config, seconds: float, now: float, batch: int = 5_00
         raise ModelMismatch(f"the store holds vectors of {store.meta().get('embed_model')}; reindex before using {model.model_id}")
     store.publish({}, {"embed_model": model.model_id, "embed_dim": cfg.embed_dim})
     backlog = {r["phase"]: r["n"] for r in status.pending_by_phase(store.read("file_catalog"), store.read("file_embedding"), cfg).collect()}
-    order = [(p, backlog.get(p, 0)) for p in PHASES if p != "image_caption"]
+    order = [(p, backlog.get(p, 0)) for p in PHASES]
     lead = next((p for p, n in order if n), None)
     last = store.meta().get(f"phase_pending_{lead}")
-    done, budget = 0, enrich.Budget(seconds)
-    for phase, share in enrich.split_budget(seconds, order, int(last) if last else None).items():
+    done, counts, budget = 0, Counter(), enrich.Budget(seconds)
+    shares = enrich.split_budget(seconds, order, int(last) if last else None)
+    # the shares first, where a phase has stalled; then every phase to its end, in order, as far as the budget goes
+    plan = [*(list(shares.items()) if len(shares) > 1 else []), *((p, seconds) for p in PHASES)]
+    for phase, share in plan:
         own = enrich.Budget(share)
         while not budget.exhausted() and not own.exhausted():
             room = min(batch, limit - done) if limit else batch
-            n = enrich_batch(store, cfg, phase, now, room) if room > 0 else 0
-            done += n
-            if not n:
+            outcome = enrich_batch(store, cfg, phase, now, room) if room > 0 else {}
+            counts.update(outcome)
+            done += sum(outcome.values())
+            if not outcome:
                 break
     if lead:
         store.publish({}, {f"phase_pending_{lead}": dict(order)[lead]})
     model.release()
-    return {"processed": done, "seconds": seconds - budget.remaining()}
+    return {"processed": done, "counts": dict(counts), "seconds": seconds - budget.remaining()}
 
 
 def prune_store(store: Store, now: float) -> None:

@@ -192,9 +192,30 @@ def describe_image(path: str) -> str:
     return clean("\n".join(lines))
 
 
+def caption_files(files: DataFrame, cfg: Config) -> DataFrame:
+    """For files (content_hash, path): content_hash, caption, error; the model is made once in a worker."""
+    from driftnet.embed import backend
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = backend(cfg)
+        for pdf_ in batches:
+            rows = []
+            for key, path in zip(pdf_["content_hash"], pdf_["path"], strict=True):
+                try:
+                    text, why = model.describe_image(path) if os.path.exists(path) else ("", "file is gone")
+                except Exception as problem:
+                    text, why = "", f"caption failed: {problem}"
+                rows.append((key, clean(text), why or None))
+            yield pd.DataFrame(rows, columns=["content_hash", "caption", "error"])
+
+    return files.mapInPandas(run, "content_hash string, caption string, error string")
+
+
 def hash_and_extract(files: DataFrame, cfg: Config) -> DataFrame:
     """For files (id, path, ext, size_bytes): content_hash, text, source_kind, outcome (null while open) and reason."""
 
+    from driftnet.embed import backend
+
     def one(id_, path, ext, size):
         kind = classify(ext, cfg)
         if kind == "unsupported":
@@ -212,7 +233,9 @@ def hash_and_extract(files: DataFrame, cfg: Config) -> DataFrame:
                 return id_, digest, None, None, "skipped", "below image size threshold"
             text, why, kind = describe_image(path), "", "image_meta"
         else:
-            return id_, digest, None, kind, "failed", "transcribe failed: no model"
+            text, why = backend(cfg).transcribe(path)
+            if not why and not text.strip():
+                return id_, digest, None, kind, "skipped", "no speech detected"
         if why or not text.strip():
             return id_, digest, None, kind, "failed", why or "extractor produced no text"
         return id_, digest, text, kind, None, None

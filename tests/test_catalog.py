@@ -273,3 +273,30 @@ def test_listings_as_a_stream(spark, tmp_path):
     run(2.0)
     run(3.0)
     assert {r["path"]: r["deleted_at"] for r in store.read("file_catalog").collect()} == {"/r/a.txt": None, "/r/b.txt": 2.0}
+
+
+def test_captions_and_transcripts(spark, tmp_path):
+    for name in ("a.png", "dark.png", "talk.mp3", "silent.mp3"):
+        (tmp_path / name).write_bytes(name.encode() * 5000)
+    cfg = Config(folders=[str(tmp_path)], backend="tests.stub_backends:Seeing", embed_dim=16, image_skip_below=10)
+    store = Store(spark, str(tmp_path / "snap"))
+    index.crawl_store(store, cfg, NOW)
+    done = index.run(store, cfg, 600, NOW)
+    assert done["counts"] == {"done": 4, "skipped": 1, "failed": 1}  # two images, a talk, a caption; silence; a dark image
+    kinds = {r["extracted_text"].split("\n")[0]: r["source_kind"] for r in store.read("file_embedding").collect()}
+    assert kinds["a described image"] == "image" and kinds["a transcript"] == "audio" and set(kinds.values()) == {"image", "audio"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from driftnet import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "lease.txt").write_text("the lease of the flat, in full")
+    base = ["--store", str(tmp_path / "store"), "--config", str(tmp_path / "none.toml")]
+    assert cli.main([*base, "index", str(tmp_path / "in"), "--scheduled"]) == 0
+    capsys.readouterr()
+    assert cli.main([*base, "search", "lease", "--json"]) == 0
+    assert json.loads(capsys.readouterr().out)[0]["filename"] == "lease.txt"
+    assert cli.main([*base, "search", "nothing", "-m", "literal"]) == 1 and cli.main([*base, "status"]) == 0 and cli.main([*base, "reindex"]) == 0
