@@ -37,9 +37,8 @@ def literal(catalog: DataFrame, term: str, limit: int) -> DataFrame:
 def nearest(vectors: DataFrame, query: Sequence[float], k: int) -> DataFrame:
     """The k contents nearest to the query: columns content_hash, squared. Exact, over all vectors of the query's length;
     ties go by content. The top k of each partition is kept before anything moves."""
-    q = F.array(*[F.lit(float(x)) for x in query])
     usable = vectors.where(F.size("embedding") == len(query))
-    return usable.select("content_hash", V.squared_distance(V.normalized(F.col("embedding")), V.normalized(q)).alias("squared")).orderBy("squared", "content_hash").limit(k)
+    return usable.select("content_hash", V.distances_to(query)("embedding").alias("squared")).orderBy("squared", "content_hash").limit(k)
 
 
 def semantic(catalog: DataFrame, contents: DataFrame, vectors: DataFrame, query: Sequence[float], limit: int) -> DataFrame:
