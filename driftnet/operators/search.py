@@ -47,8 +47,9 @@ def semantic(catalog: DataFrame, contents: DataFrame, vectors: DataFrame, query:
     k = min(8 * limit, 400) neighbours are taken before it is known which of them are live: the surplus makes up for
     contents that only deleted files carry. At most 400 rows go into the joins, so they are sent to the other sides.
     """
-    near = nearest(vectors, query, min(8 * limit, MOST_NEIGHBOURS))
-    few = F.broadcast(near)  # at most MOST_NEIGHBOURS rows
+    found = nearest(vectors, query, min(8 * limit, MOST_NEIGHBOURS)).collect()  # at most MOST_NEIGHBOURS rows, found once
+    near = catalog.sparkSession.createDataFrame(found, "content_hash string, squared double")
+    few = F.broadcast(near)
     texts = contents.join(few, "content_hash").select("content_hash", "squared", "extracted_text", "source_kind")
     files = representatives(catalog.join(F.broadcast(near.select("content_hash")), "content_hash", "left_semi"))
     return texts.join(files, "content_hash").select(
