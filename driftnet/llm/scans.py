@@ -80,7 +80,7 @@ def emissions(lines: list[str], gaps: list[bool], feeds: list[bool], width: int)
         if STRONG_NUMBER.fullmatch(s):
             f, h = 5.0, 1.0
         elif ROMAN_NUMBER.fullmatch(s):
-            f, h = (4.0 if ends_page or gaps[i] else 3.0), 0.0
+            f, h = 5.0, 0.0
         elif BARE_NUMBER.fullmatch(s):
             row = i > 0 and cell[i - 1] or i + 1 < n and cell[i + 1]
             turns = i + 1 < n and (keys[_key(lines[i + 1])] > 1 and len(_key(lines[i + 1])) > 3 or bool(TITLE_NUMBER.fullmatch(lines[i + 1])))
@@ -98,7 +98,7 @@ def emissions(lines: list[str], gaps: list[bool], feeds: list[bool], width: int)
             if i and not feeds[i] and lines[i - 1].rstrip()[-1:] not in ".?!" and BARE_NUMBER.fullmatch(lines[i - 1]) is None and STRONG_NUMBER.fullmatch(lines[i - 1].strip()) is None and ROMAN_NUMBER.fullmatch(lines[i - 1].strip()) is None and not again:
                 h -= 3.0
             f = -1.0 + 2.0 * again + (1.5 if ends_page else 0.0)
-        if LIST_ROW.fullmatch(s):
+        if LIST_ROW.fullmatch(s) and not STRONG_NUMBER.fullmatch(s):
             h, f = h - 2.0, f - 2.0
         if feeds[i]:
             h += 1.5
