@@ -94,7 +94,7 @@ def emissions(lines: list[str], gaps: list[bool], feeds: list[bool], width: int)
         elif short and (s[:1].isupper() or s[:1].isdigit()) and s[-1:] not in ".,;:?!" + HYPHENS and not LIST_ROW.fullmatch(s):
             again = keys[_key(s)] > 1 and len(_key(s)) > 3
             upper = s.upper() == s and any(c.isalpha() for c in s)
-            h = 1.0 + 3.0 * again + 1.5 * upper + (2.5 if starts_page else 0.0)
+            h = 1.0 + 4.5 * again + 1.5 * upper + 2.0 * (" — " in s) + (2.5 if starts_page else 0.0)
             if i and not feeds[i] and lines[i - 1].rstrip()[-1:] not in ".?!" and BARE_NUMBER.fullmatch(lines[i - 1]) is None and STRONG_NUMBER.fullmatch(lines[i - 1].strip()) is None and ROMAN_NUMBER.fullmatch(lines[i - 1].strip()) is None and not again:
                 h -= 3.0
             f = -1.0 + 2.0 * again + (1.5 if ends_page else 0.0)
