@@ -49,7 +49,11 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one partition a core before Python work; no-op once the input is large."""
+    """Give a scan at least one partition a core before Python work; no-op once the input is large. What comes out of a
+    shuffle is left alone: it is spread already, and asking for its partitions would run it."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(x in plan for x in ("Aggregate", "Join", "Sort", "Repartition", "Window", "Distinct", "Limit")):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
