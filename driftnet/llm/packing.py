@@ -2,9 +2,10 @@
 
 An item of size t belongs to reciprocal class k = capacity // t: k of the class always fit one container. Every worker fills
 its own containers from its own items, in batches: items of class 1 open a container each and their remaining room is topped up
-with the largest items that fit; then each other class is filled k items a container. Items short of a full count wait for the
-next batch, and at the end of the partition are packed by first fit in falling size, so that a worker leaves about one container
-partly filled. No shuffle, no group: a class or source that holds a third of all items is just more containers.
+with the largest items that fit; then each other class is filled k items a container. Items of the last class, below
+capacity / classes, are filled by first fit in falling size. Items short of a full count wait for the next batch; those of the
+last batch are packed with its last class, so that a worker leaves about one container partly filled. No shuffle, no group: a
+class or source that holds a third of all items is just more containers.
 """
 
 from __future__ import annotations
@@ -60,8 +61,6 @@ class Packer:
         items = sorted(items + self.waiting)
         self.waiting = []
         cap = self.capacity
-        if last:
-            return self._first_fit(items, out)
         big = [x for x in items if x[0] * 2 > cap]
         rooms = []
         for size, item in big:
@@ -89,14 +88,10 @@ class Packer:
                 for x in left:
                     by_class[min(cap // x[0], self.classes)].append(x)
             self.waiting += own[full:] if k < self.classes else []
-        room, box = 0, -1  # the last class: items below capacity / classes, filled by size
         tail = by_class.get(self.classes, [])
-        for size, item in reversed(tail):
-            if size > room:
-                room, box = cap, self._open()
-            room -= size
-            out[item] = box
-        return out
+        if last:
+            tail, self.waiting = sorted(tail + self.waiting), []
+        return self._first_fit(tail, out)
 
     def _first_fit(self, items: list[tuple[int, int]], out: dict[int, int]) -> dict[int, int]:
         """First fit in falling size over a tree of the largest rooms; items are at most a batch and what waited."""

@@ -45,6 +45,21 @@ def test_packer_batches(spark):
     assert done.keys() == sizes.keys() and max(boxes.values()) <= 100 and sum(sizes.values()) / (100 * len(boxes)) > 0.93
 
 
+def test_classes_are_filled_by_count_in_the_last_batch(monkeypatch):
+    fitted = []
+    first_fit = packing.Packer._first_fit
+    monkeypatch.setattr(packing.Packer, "_first_fit", lambda self, items, out: fitted.extend(items) or first_fit(self, items, out))
+    rng = random.Random(4)
+    items = [(rng.randint(1, 60), i) for i in range(500)]
+    p = packing.Packer(100)
+    done = p.add(items, True)
+    left = Counter(100 // s for s, _ in fitted)
+    assert done.keys() == {i for _, i in items} and not p.waiting
+    assert all(n < k for k, n in left.items() if k < packing.CLASSES)
+    small = packing.Packer(100).add([(50, 0), (40, 1), (36, 2)], True)
+    assert small[1] == small[2] != small[0]
+
+
 def test_token_counts_equal_the_encoding():
     c = tokens.counter(tokens.VOCABULARY)
     for text in ("", "one two  three", " lead", "trail ", "a\n b", "Größe 12.50 €\nzwei", "x" * 3000, "it's we'll", "日本 語 x", "tab\tseparated words"):
