@@ -17,22 +17,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftnet.llm.residue_seeds import ERROR_SEEDS, FILLER_SEEDS, SPEAKING_SEEDS
-from driftnet.runtime import spread
+from driftnet.runtime import materialize, spread
 
 BITS = 18
 GRAM = 4
-#: Texts the natural model is fitted on, at most; all texts are scored.
-SAMPLE_TEXTS = 4000
-SAMPLE_CHARS = 8_000_000
+#: Counts are added up in blocks of so many 4-grams.
+BLOCK = 4096
 #: Natural texts stay below 0.05 and residue above 0.2 on the test tables.
 COVERAGE = 0.15
 CONTEXT = 28
 _WINDOW = re.compile(r"[^\n]+?(?:[.!?]+(?=\s+[^\Wa-zà-ÿ\d_]|\s+[¡¿«“\"'(\[{<$])|\n|\Z)", re.S)
 PLACEHOLDER = re.compile(
+    r"(?=[{$\[<%@_«*#NXT]|[Uu]ndef|UNDEF|null)(?:"  # what every form starts with, tried first: most characters end here
     r"\{\{[^{}\n]{1,60}\}\}|\$\{[^{}\n]{1,60}\}|\[\[[^\[\]\n]{1,60}\]\]|<%[^%\n]{1,60}%>|\{%[^%\n]{1,60}%\}|<<[^<>\n]{1,60}>>|@@\w{1,60}@@"
     r"|%[^\W\d_]\w{1,40}%|(?<!_)__[^\W\d_]\w{0,38}?__(?!_)|«[^\W\d_]\w{1,40}»|\*\|\w{1,40}\|\*|%\(\w{1,40}\)s|#[A-Z_]{2,40}#"
     r"|\{[^\W_]\w{0,40}\}|\[[^\W\d_][^\[\]\n\d]{1,60}\]|<[^\W\d_][^<>@\n/=]{0,40} [^<>@\n/=]{1,40}>"
-    r"|\b(?:[Uu]ndefined|UNDEFINED|NaN|X{4,}|TBD|TODO|null)\b|(?<!\w)_{3,20}(?=\s\w)"
+    r"|\b(?:[Uu]ndefined|UNDEFINED|NaN|X{4,}|TBD|TODO|null)\b|(?<!\w)_{3,20}(?=\s\w))"
 )
 
 
@@ -54,38 +54,39 @@ def _padded(text: str) -> str:
     return f"\n{text}\n"
 
 
-def fit(texts: Iterable[str], alpha: float) -> np.ndarray:
-    """Log probabilities of the 4-grams of a class."""
-    counts = np.zeros(1 << BITS)
+def count(texts: Iterable[str]) -> np.ndarray:
+    """How often each 4-gram occurs in the texts."""
+    counts = np.zeros(1 << BITS, np.int64)
     for t in texts:
-        counts += np.bincount(_grams(_padded(t)), minlength=1 << BITS)
+        np.add.at(counts, _grams(_padded(t)), 1)
+    return counts
+
+
+def fit(counts: np.ndarray, alpha: float) -> np.ndarray:
+    """Log probabilities of the 4-grams of a class."""
     return np.log((counts + alpha) / (counts.sum() + alpha * len(counts))).astype(np.float32)
 
 
 class Models:
     """Log-likelihood ratios by 4-gram: of filler and of error notices against natural text, of speaking against prose."""
 
-    def __init__(self, prose: list[str]):
-        seeds = [ERROR_SEEDS, FILLER_SEEDS]
-        speaking = fit(SPEAKING_SEEDS, 0.01)
-        kept = prose
-        for _ in range(2):  # the sample holds residue too: fit, leave out what looks like it, fit again
-            natural = fit(kept, 0.05) if kept else np.full(1 << BITS, -BITS * np.log(2), np.float32)
-            both = np.maximum(natural, speaking - 1.0)
-            self.residue = [fit(s, 0.01) - both for s in seeds]
-            self.speaking = speaking - natural
-            kept = [t for t in prose if self.coverage(t) < 0.3]
+    def __init__(self, counts: np.ndarray):
+        """``counts``: of the 4-grams of natural texts."""
+        speaking = fit(count(SPEAKING_SEEDS), 0.01)
+        natural = fit(counts, 0.05) if counts.any() else np.full(1 << BITS, -BITS * np.log(2), np.float32)
+        both = np.maximum(natural, speaking - 1.0)
+        self.residue = [fit(count(s), 0.01) - both for s in (ERROR_SEEDS, FILLER_SEEDS)]
+        self.speaking = speaking - natural
 
     def windows(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, mean ratio of the likelier residue class) of the windows of a text."""
         g = _grams(_padded(text))
         sums = [np.concatenate([[0.0], np.cumsum(r[g], dtype=np.float64)]) for r in self.residue]
-        out = []
-        for m in _WINDOW.finditer(text):
-            lo, hi = m.start(), min(m.end() + 1, len(g))  # the padding shifts by one: grams that touch the window
-            if hi > lo:
-                out.append((m.start(), m.end(), max((s[hi] - s[lo]) / (hi - lo) for s in sums)))
-        return out
+        spans = np.array([m.span() for m in _WINDOW.finditer(text)], np.int64).reshape(-1, 2)
+        spans = spans[np.minimum(spans[:, 1] + 1, len(g)) > spans[:, 0]]
+        lo, hi = spans[:, 0], np.minimum(spans[:, 1] + 1, len(g))  # the padding shifts by one: grams that touch the window
+        ratio = np.maximum(*(s[hi] - s[lo] for s in sums)) / (hi - lo)
+        return list(zip(lo.tolist(), spans[:, 1].tolist(), ratio.tolist(), strict=True))
 
     def coverage(self, text: str) -> float:
         """The part of a text's letters and signs that lies in residue windows."""
@@ -118,22 +119,45 @@ def judge(models: Models, text: str | None) -> tuple[float, int, bool]:
     return cover, holes, cover >= COVERAGE or holes > 0
 
 
+def _gram_counts(texts: DataFrame, models=None) -> np.ndarray:
+    """Counts of the 4-grams of all texts (column t), or of those that the broadcast models take for residue."""
+
+    def tally(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(1 << BITS, np.int64)
+        for pdf in batches:
+            counts += count(pdf["t"] if models is None else (x for x in pdf["t"] if models.value.coverage(x) >= 0.3))
+        blocks = counts.reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(axis=1))
+        if len(used):
+            yield pd.DataFrame({"block": used.astype(np.int32), "n": list(blocks[used])})
+
+    def add_up(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for block, n in zip(pdf["block"], pdf["n"], strict=True):
+                sums[block] = sums[block] + n if block in sums else n
+        if sums:
+            yield pd.DataFrame({"block": list(sums), "n": list(sums.values())})
+
+    schema = "block int, n array<long>"
+    out = np.zeros(((1 << BITS) // BLOCK, BLOCK), np.int64)
+    for row in spread(texts).mapInPandas(tally, schema).repartition("block").mapInPandas(add_up, schema).collect():
+        out[row.block] = row.n
+    return out.reshape(-1)
+
+
 def judged(df: DataFrame, key: str, text: str) -> DataFrame:
     """Columns key, coverage, placeholders, residue for every row, whole texts; equal texts are judged alike.
 
-    The natural model is fitted on at most ``SAMPLE_TEXTS`` texts, chosen by a hash of the text; the bound is fixed, the
-    rest covers all rows. Null keys are kept. An empty table gives no rows.
+    The natural model is fitted on all texts, whole, each distinct text once. They hold residue too: it is fitted, texts that
+    look like residue are left out, and it is fitted again. Null keys are kept. An empty table gives no rows.
     """
     spark = df.sparkSession
     k, t = F.col(key), F.col(text).cast("string")
-    share = min(1.0, SAMPLE_TEXTS / max(df.count(), 1))  # about as many rows as are wanted leave the executors
-    sample = df.select(F.substring(t, 1, 20_000).alias("t"), F.xxhash64(t).alias("h")).where((F.pmod("h", F.lit(1_000_003)) <= share * 1_000_003) & (F.length("t") > 0))
-    texts, room = [], SAMPLE_CHARS
-    for row in sorted(sample.limit(2 * SAMPLE_TEXTS).collect(), key=lambda r: (r.h, r.t))[:SAMPLE_TEXTS]:
-        if (room := room - len(row.t)) < 0:
-            break
-        texts.append(row.t)
-    sent = spark.sparkContext.broadcast(Models(texts))  # three tables of 2 ** BITS numbers
+    texts = materialize(df.select(t.alias("t")).where(F.length("t") > 0).distinct(), "texts")
+    counts = _gram_counts(texts)
+    first = spark.sparkContext.broadcast(Models(counts))  # three tables of 2 ** BITS numbers
+    sent = spark.sparkContext.broadcast(Models(counts - _gram_counts(texts, first)))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models = sent.value

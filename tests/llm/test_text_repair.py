@@ -117,6 +117,14 @@ def test_residue(spark):
     assert residue.judged(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_copies_of_residue_do_not_become_natural(spark):
+    notice = "404 Not Found\nThe page you asked for is not on this server. Check the address and try again, or go back to the start page."
+    prose = [f"The {a} stands on the {b} and the garden wall was painted by my {c} in May." for a in ("kettle", "lamp", "jar", "clock") for b in ("stove", "shelf", "table") for c in ("brother", "aunt", "cousin")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(prose + [notice] * 300)], "doc_id long, text string")
+    got = {r["key"] for r in residue.judged(df, "doc_id", "text").where("residue").collect()}
+    assert got == set(range(len(prose), len(prose) + 300))
+
+
 PAGE = """THE GARDEN WALL   7
 
 The garden wall was painted in May and the kettle stands on the news-
