@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from driftnet.runtime import spread
 
-#: A zlib dictionary holds 32 KB; the most common closings of the collection go in, the commonest last (nearest).
+#: A zlib dictionary holds 32 KB: what is longer is divided among several.
 DICTIONARY = 30_000
 GAIN = 0.4
 OVERLAP = 0.5
@@ -79,18 +80,50 @@ def _words(text: str) -> list[str]:
 
 
 class Closings:
-    """The dictionary of closings: for compression, and its word runs for the exact check."""
+    """All learnt closings: a dictionary of the commonest for compression, others made of the sentences that share word runs
+    with a text, and the word runs of all for the exact check."""
 
     def __init__(self, sentences: list[str]):
-        kept, size = [], len(SEED_NOTICES)
-        for s in sentences:  # commonest first
-            size += len(s.encode()) + 1
-            if size > DICTIONARY:
-                break
-            kept.append(s)
-        text = " ".join([*reversed(kept), SEED_NOTICES.casefold()])
-        self.zdict = text.encode()
-        self.runs = runs(" ".join(kept)) | runs(SEED_NOTICES)
+        first = next(_shelves(sentences, len(SEED_NOTICES)), [])  # commonest first
+        self.zdict = " ".join([*reversed(first), SEED_NOTICES.casefold()]).encode()
+        self.runs = runs(" ".join(sentences)) | runs(SEED_NOTICES)
+        self.sentences = sentences if len(first) < len(sentences) else []
+        self.places: dict[tuple[str, ...], list[int]] = {}
+        for i, s in enumerate(self.sentences):
+            for r in runs(s):
+                self.places.setdefault(r, []).append(i)
+
+    def flags(self, text: str) -> bool:
+        """Whether the text gains abnormally under one of the dictionaries."""
+        if gain(text, self.zdict) >= GAIN:
+            return True
+        shared = Counter(i for r in runs(text) for i in self.places.get(r, ()))
+        near = [self.sentences[i] for i, _ in shared.most_common()]
+        return any(gain(text, " ".join(reversed(shelf)).encode()) >= GAIN for shelf in _shelves(near))
+
+
+def _shelves(sentences: list[str], size: int = 0) -> Iterator[list[str]]:
+    """The sentences in order, in lists that fit one dictionary each; ``size`` bytes of the first are taken."""
+    kept: list[str] = []
+    for s in sentences:
+        n = len(s.encode()) + 1
+        if size + n > DICTIONARY:
+            yield kept
+            kept, size = [], 0
+        kept.append(s)
+        size += n
+    if kept:
+        yield kept
+
+
+def _stretches(old: bytes) -> Iterator[bytes]:
+    """Dictionaries that cover a long text, the last part first; each shares half with the next."""
+    end = len(old)
+    while True:
+        yield old[max(0, end - 32_000) : end]
+        if end <= 32_000:
+            return
+        end -= 16_000
 
 
 def runs(text: str) -> set[tuple[str, ...]]:
@@ -214,7 +247,7 @@ def classify(text: str, closings: Closings) -> list[str]:
     lines = [x.rstrip("\r") for x in text.split("\n")]
     marks, names = structure(lines)
     old = "\n".join(PREFIX.sub("", x) for x, m in zip(lines, marks, strict=True) if m == "Q")
-    ancestors, ancestor_runs = old.encode()[-32_000:], runs(old)
+    ancestors, ancestor_runs = old.encode(), runs(old)
     for lo, hi in list(paragraphs(marks)):
         body = "\n".join(lines[lo:hi])
         before = marks[lo - 1] if lo else "B"
@@ -248,11 +281,11 @@ def classify(text: str, closings: Closings) -> list[str]:
                 continue
             hi, body = cut, "\n".join(lines[lo:cut])
         first = lines[lo].strip()
-        if gain(body.casefold(), closings.zdict) >= GAIN and overlap(body, closings.runs) >= OVERLAP and len(_words(body)) >= 5:
+        if len(_words(body)) >= 5 and overlap(body, closings.runs) >= OVERLAP and closings.flags(body.casefold()):
             marks[lo:hi] = ["L"] * (hi - lo)
         elif re.fullmatch(r"[^\W\d_][\w .'’-]{3,40}:", first) and hi - lo > 1 and overlap("\n".join(lines[lo + 1 : hi]), closings.runs) >= OVERLAP:
             marks[lo:hi] = ["L"] * (hi - lo)
-        elif old and len(_words(body)) >= 8 and gain(body, ancestors) >= 0.6 and overlap(body, ancestor_runs) >= 0.9:
+        elif old and len(_words(body)) >= 8 and overlap(body, ancestor_runs) >= 0.9 and any(gain(body, a) >= 0.6 for a in _stretches(ancestors)):
             marks[lo:hi] = ["Q"] * (hi - lo)
         else:
             marks[lo:hi] = ["N"] * (hi - lo)
@@ -276,7 +309,7 @@ def notices(text: str) -> list[str]:
 
 
 def learn_closings(mails: DataFrame) -> Closings:
-    """The commonest notice sentences of all messages (columns id, text); as many as one zlib dictionary holds reach the driver."""
+    """The notice sentences of all messages (columns id, text), commonest first; each distinct one reaches the driver."""
 
     def collect(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -285,7 +318,7 @@ def learn_closings(mails: DataFrame) -> Closings:
                 yield pd.DataFrame({"s": pd.Series(found, dtype=object)})
 
     top = spread(mails.select("text")).mapInPandas(collect, "s string").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    rows = top.orderBy(F.desc("n"), "s").limit(DICTIONARY // 12).collect()
+    rows = top.orderBy(F.desc("n"), "s").collect()
     return Closings([r["s"] for r in rows])
 
 

@@ -96,6 +96,26 @@ def test_notice_without_rule_is_told_by_compression():
     assert emails.gain(notice, zd) > 0.6 > emails.gain("the kettle in the garden shed costs four pounds and ten", zd)
 
 
+def test_rare_notices_and_long_threads_are_told_too(spark, monkeypatch):
+    def word(i):
+        return "".join("bdfgklmnprstvz"[i // 14**k % 14] + "aeiou"[(i // 7 + k) % 5] for k in range(3))
+
+    notices = [" ".join(word(7 * i + 13 * k * k) for k in range(9)) + "." for i in range(1500)]
+    head = "From: Ann Lee <ann@x.org>\nTo: b@y.org\nSubject: s\n\nThe kettle in the shed costs four pounds.\n\n"
+    closings = emails.Closings(notices)
+    for body in (notices[0], notices[-1], f"{notices[5]} {notices[900]} {notices[-5]}"):
+        assert emails.classify(head + body, closings)[-1] == "L"
+    assert emails.classify(head + "We will bring the ladder and paint the shed on Sunday.", closings)[-1] == "N"
+    quoted = "\n".join("> " + s for s in notices)
+    said = f"{notices[0]}\n{notices[1]}\n{notices[2]}"
+    marks = emails.classify(f"{head}{said}\n\n{quoted}", emails.Closings([]))
+    assert marks[6:9] == ["Q"] * 3
+    monkeypatch.setattr(emails, "DICTIONARY", 1200)
+    mails = spark.createDataFrame([(str(i), f"{head}Yes.\n\n{'_' * 30}\n{s}") for i, s in enumerate(notices[:150])], "id string, text string")
+    assert emails.classify(head + notices[140], emails.learn_closings(mails))[-1] == "L"
+    assert len(emails.learn_closings(mails).sentences) == 150
+
+
 def test_mail_tables(spark):
     texts = spark.createDataFrame([("a", MAIL, 1), ("b", None, 1), ("c", MAIL, 1), (None, MAIL, 1)], "content_hash string, extracted_text string, id int")
     cat = spark.createDataFrame([("a", "eml"), ("a", "EML"), ("b", "msg"), (None, "eml"), ("c", "txt")], "content_hash string, ext string")
