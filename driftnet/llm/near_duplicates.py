@@ -5,14 +5,15 @@ shared runs are at most the sum over groups of the smaller count, so a pair can
 least t / (1 + t) * (|A| + |B|). R-trees hold the points; a node's corner of largest counts bounds all pairs below it.
 
 One tree over a large collection can't be searched apart on many machines, and boxes of unrelated points overlap. So points are first
-put into cells: samples drawn from the counts (smallest hashes of several groupings, in bands), in which a pair of similarity s
-meets with probability 1 - (1 - s ** ROWS) ** BANDS: at 0.65, 0.9987; at 0.75, 0.99999. Each cell has its own tree; a large cell is cut into
+put into cells by MinHash banding of the whole sets (smallest hashes under several multipliers, in bands), in which a pair of similarity s
+meets with probability 1 - (1 - s ** ROWS) ** BANDS: at 0.6, 0.9932; at 0.65, 0.9987. Each cell has its own tree; a large cell is cut into
 blocks of rows and the blocks are joined by pairs of nodes, so that no task holds a cell. Pairs that survive the bound are verified on the
 whole sets of runs.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -275,15 +276,15 @@ def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHO
     return both.select(F.least("x", "y").alias("content_hash_a"), F.greatest("x", "y").alias("content_hash_b"), "similarity").dropDuplicates(["content_hash_a", "content_hash_b"])
 
 
-def classes(pairs: DataFrame, members: DataFrame, rounds: int = 40) -> DataFrame:
+def classes(pairs: DataFrame, members: DataFrame, rounds: int | None = None) -> DataFrame:
     """Columns id, class_id, links: the connected class of every text (its smallest member's id) and its number of links to
     texts of other sets. Labels fall along links and jump over known labels, so that rounds grow with the log of a chain; each is
-    written to the shared folder."""
+    written to the shared folder. They go on until no label changes; more than ``rounds`` of them, if given, are an error."""
     ends = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
     ends = materialize(ends.distinct(), "links")
     first = members.groupBy("rep").agg(F.min("id").alias("label"))
     labels = materialize(first, "labels")
-    for _ in range(rounds):
+    for done in itertools.count(1):
         near = ends.join(labels.select(F.col("rep").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         lower = labels.join(near.withColumnRenamed("u", "rep"), "rep", "left").select("rep", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
         # a label is the id of a set's first text; take over what that set has found
@@ -293,6 +294,8 @@ def classes(pairs: DataFrame, members: DataFrame, rounds: int = 40) -> DataFrame
         labels = new.select("rep", F.col("new").alias("label"))
         if not changed:
             break
+        if done == rounds:
+            raise RuntimeError(f"labels still change after {rounds} rounds")
     links = ends.groupBy("u").agg(F.count(F.lit(1)).alias("links"))
     out = members.distinct().join(labels, "rep").join(links.withColumnRenamed("u", "rep"), "rep", "left")
     return out.select("id", F.col("label").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))

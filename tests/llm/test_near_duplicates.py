@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from driftnet.llm import near_duplicates as N
 
@@ -73,3 +74,12 @@ def test_empty_table_and_classes(spark):
     members = spark.createDataFrame([("p", 1), ("q", 2), ("r", 3), ("r2", 3), ("s", 4), ("t", 5), ("u", 6)], "id string, rep long")
     got = {r["id"]: (r["class_id"], r["links"]) for r in N.classes(pairs, members).collect()}
     assert got == {"p": ("p", 1), "q": ("p", 2), "r": ("p", 1), "r2": ("p", 1), "s": ("s", 0), "t": ("t", 1), "u": ("t", 1)}
+
+
+def test_unfinished_classes_are_an_error(spark):
+    order = random.Random(5).sample(range(30), 30)
+    pairs = spark.createDataFrame(list(itertools.pairwise(order)), "a long, b long")
+    members = spark.createDataFrame([(f"k{i:02d}", i) for i in order], "id string, rep long")
+    assert {r["class_id"] for r in N.classes(pairs, members).collect()} == {"k00"}
+    with pytest.raises(RuntimeError):
+        N.classes(pairs, members, rounds=1)
