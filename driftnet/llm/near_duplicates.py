@@ -2,20 +2,25 @@
 
 A text is the set of its runs of three words. The runs are hashed into groups; the group counts are a point. For two sets A, B the
 shared runs are at most the sum over groups of the smaller count, so a pair can only reach similarity t where that sum is at
-least t / (1 + t) * (|A| + |B|). R-trees hold the points; a node's corner of largest counts bounds all pairs below it.
-
-One tree over a large collection can't be searched apart on many machines, and boxes of unrelated points overlap. So points are first
-put into cells by MinHash banding of the whole sets (smallest hashes under several multipliers, in bands), in which a pair of similarity s
-meets with probability 1 - (1 - s ** ROWS) ** BANDS: at 0.6, 0.9932; at 0.65, 0.9987. Each cell has its own tree; a large cell is cut into
-blocks of rows and the blocks are joined by pairs of nodes, so that no task holds a cell. Pairs that survive the bound are verified on the
-whole sets of runs.
+least t / (1 + t) * (|A| + |B|). Groups come in two grains of one hash: ``FINE`` bits for the upper level of the tree and, folded
+together, ``GROUPS`` coordinates for the boxes below.
+
+The upper level cuts space by single fine coordinates, so that each part can be searched on its own machine. All groups stand
+in one order, rarest first. A partner of A shares at least t * |A| of A's counts, so the rarest group that two such texts share lies
+among the first groups of either that leave less than that behind: a text is filed under those groups of its own, and every pair that
+the bound allows meets in the part of its rarest shared group. Nothing is sampled and no pair is missed. The order comes from counts of
+all texts in a table of fixed size; an unsure order only makes parts larger.
+
+The points of a part are packed by size into boxes and boxes of boxes. A box's corner of largest counts bounds all pairs below
+it; pairs of boxes are followed down only while their summed minima allow a pair. What survives is verified on the whole sets.
+A part that the counts say is large is cut into blocks of rows, joined block by block, so that no task holds it.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,68 +32,97 @@ from driftnet.runtime import materialize, spread
 WORDS = 3
 LEAST_WORDS = 40
 THRESHOLD = 0.6
-BANDS = 36
-ROWS = 4
-#: Coordinates of a point in the trees.
+#: Bits of a fine group; of these the first SLOT choose its place in the table of counts.
+FINE, SLOT = 32, 21
+#: Coordinates of a point in the boxes.
 GROUPS = 64
-LEAF = 32
-BLOCK = 2048
-_WORD = re.compile(r"[^\W_]+")
-_RNG = np.random.default_rng(20_31)
-_MULT = (_RNG.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
-
-
-class _Hashes(dict):
-    """64-bit hashes of words, looked up after the first time."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) > 1 << 20:
-            self.clear()
-        self[word] = h
-        return h
-
-
-_hashes = _Hashes()
+#: Children of a box.
+FAN = 8
+#: Rows of a block of a large part.
+BLOCK = 8192
+#: Copies of a text in a block.
+COPIES = 1024
+#: Characters taken at once.
+CHUNK = 1 << 20
+_MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _STEP
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a code point is a letter or digit, its code, codes of places in a word)."""
+    n = 0x110000
+    letter = np.fromiter((chr(c).isalnum() for c in range(n)), dtype=bool, count=n)
+    with np.errstate(over="ignore"):
+        code = _mixed(np.arange(1, n + 1, dtype=np.uint64) * _MIX)
+        place = _mixed(np.arange(1, 1025, dtype=np.uint64) * _STEP) | np.uint64(1)
+    return letter, code, place
+
+
+def _chunk_sets(texts: list[str], words: int, least: int) -> list[np.ndarray | None]:
+    letter, code, place = _tables()
+    lowered = [t.lower() for t in texts]
+    a = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.flatnonzero(letter[a])
+    bounds = np.cumsum([len(t) + 1 for t in lowered])
+    if not len(at):
+        return [None] * len(texts)
+    first = np.flatnonzero(np.append(True, np.diff(at) > 1))
+    inside = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    with np.errstate(over="ignore"):
+        h = _mixed(np.add.reduceat(code[a[at]] * place[inside & 1023], first))
+        run = np.zeros(max(0, len(h) - words + 1), np.uint64)
+        for k in range(words):
+            run = (run ^ h[k : len(h) - words + 1 + k]) * _MIX
+            run ^= run >> np.uint64(29)
+    ends = np.searchsorted(at[first], bounds)
+    out: list[np.ndarray | None] = []
+    lo = 0
+    for hi in ends.tolist():
+        if hi - lo >= max(least, words):
+            own = np.sort(run[lo : hi - words + 1])
+            out.append(own[np.append(True, own[1:] != own[:-1])])
+        else:
+            out.append(None)
+        lo = hi
+    return out
+
+
+def sets_of(texts: Iterable[str], words: int = WORDS, least: int = LEAST_WORDS) -> Iterator[np.ndarray | None]:
+    """Of each text the sorted distinct 64-bit hashes of the runs of ``words`` words of its lower-cased form, None below
+    ``least`` words. A word is a longest run of letters and digits."""
+    held: list[str] = []
+    size = 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= CHUNK:
+            yield from _chunk_sets(held, words, least)
+            held, size = [], 0
+    if held:
+        yield from _chunk_sets(held, words, least)
 
 
 def shingles(text: str, words: int = WORDS, least: int = LEAST_WORDS) -> np.ndarray | None:
-    """The sorted distinct 64-bit hashes of the runs of ``words`` words of the lower-cased text, None below ``least`` words."""
-    found = _WORD.findall(text.lower())
-    if len(found) < max(least, words):
-        return None
-    h = np.fromiter(map(_hashes.__getitem__, found), dtype=np.uint64, count=len(found))
-    out = np.zeros(len(h) - words + 1, np.uint64)
-    for k in range(words):
-        out = (out ^ h[k : len(h) - words + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return np.unique(out)
+    """The set of one text, see :func:`sets_of`."""
+    return next(sets_of([text], words, least))
 
 
 def point(sh: np.ndarray) -> np.ndarray:
-    """Counts of a set's runs by group."""
-    return np.bincount((sh % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint16)
+    """Counts of a set's runs by coarse group."""
+    return np.bincount(((sh >> np.uint64(64 - FINE)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
 
 
-def cells(sets: list[np.ndarray]) -> np.ndarray:
-    """The cells of each set: per band a mix of ROWS samples, each the smallest of the groups its runs fall into.
+def name_of(sh: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    import xxhash
 
-    A grouping maps runs to 2 ** 32 groups by an odd multiplier; the smallest occupied group is the sample.
-    """
-    flat = np.concatenate(sets)
-    low = (flat ^ (flat >> np.uint64(32))).astype(np.uint32)
-    start = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.zeros((len(sets), BANDS), np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(sets), b + 1, np.uint64)
-        for r in range(ROWS):
-            least = np.minimum.reduceat(low * _MULT[b * ROWS + r], start)
-            key = (key ^ least.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(31)
-        out[:, b] = key
-    return out.view(np.int64)
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(sh.tobytes()), np.int64).tolist())
 
 
 def needed(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -96,134 +130,212 @@ def needed(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return threshold / (1 + threshold) * (a + b) - 1e-6
 
 
-class Tree:
-    """A packed R-tree of count vectors: leaves of LEAF points, sorted by size and then by their largest group's place."""
-
-    def __init__(self, ids: np.ndarray, points: np.ndarray):
+def filed_under(sh: np.ndarray, table: np.ndarray, threshold: float) -> np.ndarray:
+    """The fine groups of a set under which it is filed: its rarest, until what is left can't hold a partner's share."""
+    groups = sh >> np.uint64(64 - FINE)
+    starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
+    groups, counts = groups[starts], np.diff(np.append(starts, len(sh)))
+    order = np.argsort(table[(groups >> np.uint64(FINE - SLOT)).astype(np.int64)], kind="stable")  # ties by group
+    left = len(sh) - np.cumsum(counts[order])
+    take = int(np.searchsorted(-left, -(np.ceil(threshold * len(sh) - 1e-6) - 1))) + 1
+    return groups[order[:take]]
+
+
+def part_names(groups: list[np.ndarray], reps: list[int], table: np.ndarray, usual: float, block: int) -> list[np.ndarray]:
+    """Names of the parts for each set's groups; a group that many texts have is cut into blocks and named by pairs of blocks."""
+    if not groups:
+        return []
+    flat = np.concatenate(groups)
+    ends = np.cumsum([len(g) for g in groups])
+    names = np.split(_mixed(flat * _MIX).view(np.int64), ends[:-1])
+    blocks = np.maximum(1, np.ceil((table[(flat >> np.uint64(FINE - SLOT)).astype(np.int64)] - usual) / block)).astype(np.int64)
+    for k in np.unique(np.searchsorted(ends, np.flatnonzero(blocks > 1), side="right")).tolist():
+        n = blocks[ends[k] - len(groups[k]) : ends[k]]
+        out = [names[k][n == 1]]
+        for g, b in zip(groups[k][n > 1], n[n > 1].tolist(), strict=True):
+            own = _mixed(np.array([reps[k]], np.int64).view(np.uint64) ^ g) % np.uint64(b)
+            others = np.arange(b, dtype=np.uint64)
+            left, right = np.minimum(others, own), np.maximum(others, own)
+            out.append(_mixed(_mixed(_mixed(g * _MIX + left + np.uint64(1)) + right + np.uint64(1)) + np.uint64(b)).view(np.int64))
+        names[k] = np.concatenate(out)
+    return names
+
+
+class Forest:
+    """Packed R-trees of count vectors, one a part: rows of a part in order of size, ``FAN`` to a box, boxes likewise."""
+
+    def __init__(self, parts: np.ndarray, ids: np.ndarray, points: np.ndarray):
         size = points.sum(1, dtype=np.int64)
-        order = np.lexsort((points.argmax(1), size))
-        self.ids, self.points, self.size = ids[order], points[order].astype(np.int32), size[order]
-        self.starts = np.arange(0, len(ids), LEAF)
-        self.top = np.maximum.reduceat(self.points, self.starts, axis=0)
-        self.least = np.minimum.reduceat(self.size, self.starts)
-        self.most = np.maximum.reduceat(self.size, self.starts)
-
-
-def join_trees(a: Tree, b: Tree, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of ids whose points can reach the threshold. ``same``: both trees are one, each pair comes once."""
-    for i, lo in enumerate(a.starts):
-        hi = min(lo + LEAF, len(a.ids))
-        js = np.arange(i if same else 0, len(b.starts))
-        js = js[(b.most[js] >= threshold * a.least[i]) & (b.least[js] * threshold <= a.most[i])]
-        if not len(js):
-            continue
-        bound = np.minimum(a.top[i], b.top[js]).sum(1)
-        js = js[bound >= needed(a.least[i], b.least[js], threshold)]
-        for j in js:
-            blo, bhi = b.starts[j], min(b.starts[j] + LEAF, len(b.ids))
-            p, q = a.points[lo:hi], b.points[blo:bhi]
-            shared = np.minimum(p[:, None, :], q[None, :, :]).sum(2)
-            x, y = np.nonzero(shared >= needed(a.size[lo:hi, None], b.size[None, blo:bhi], threshold))
-            if same and i == j:
-                x, y = x[y > x], y[y > x]
-            if len(x):
-                yield a.ids[lo:hi][x], b.ids[blo:bhi][y]
-
-
-def features(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Columns id, rep: each text's set (as a 64-bit sum of its runs), and size, point, cells of it."""
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keys, sets = [], []
-            for k, t in zip(pdf["id"], pdf["text"], strict=True):
-                if (s := shingles(t)) is not None:
-                    keys.append(k)
-                    sets.append(s)
-            if not keys:
+        order = np.lexsort((size, parts))
+        parts, self.ids = parts[order], ids[order]
+        #: (largest counts, smallest and largest size, first child of each box and the end), points first
+        self.levels = [(points[order].astype(np.int32), size[order], size[order], None)]
+        owner = np.cumsum(np.append(True, parts[1:] != parts[:-1])) - 1 if len(parts) else np.zeros(0, np.int64)
+        trees = owner[-1] + 1 if len(owner) else 0
+        while len(owner) and (len(owner) > trees or len(self.levels) == 1):
+            begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            starts = np.flatnonzero((np.arange(len(owner)) - begin[owner]) % FAN == 0)
+            top, least, most, _ = self.levels[-1]
+            self.levels.append((np.maximum.reduceat(top, starts), np.minimum.reduceat(least, starts), np.maximum.reduceat(most, starts), np.append(starts, len(owner))))
+            owner = owner[starts]
+
+    def boxes(self) -> int:
+        return sum(len(level[1]) for level in self.levels[1:])
+
+    def pairs(self, threshold: float, at_once: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of ids of a part whose points can reach the threshold, each once."""
+        last = len(self.levels) - 1
+        roots = np.arange(len(self.levels[-1][1])) if last else np.zeros(0, np.int64)
+        todo = [(last, roots, roots)]
+        while todo:
+            level, i, j = todo.pop()
+            if not len(i):
                 continue
-            rep = np.array([int(s.sum(dtype=np.uint64)) ^ (len(s) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": keys, "rep": rep, "size": [len(s) for s in sets], "point": [point(s).tobytes() for s in sets], "cells": list(cells(sets))})
-
+            if level and len(i) > at_once // FAN**2:
+                half = len(i) // 2
+                todo += [(level, i[half:], j[half:]), (level, i[:half], j[:half])]
+                continue
+            if level == 0:
+                yield self.ids[i], self.ids[j]
+                continue
+            ends = self.levels[level][3]
+            wide, high = ends[i + 1] - ends[i], ends[j + 1] - ends[j]
+            n = wide * high
+            of = np.repeat(np.arange(len(i)), n)
+            step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            a, b = ends[i][of] + step // high[of], ends[j][of] + step % high[of]
+            keep = (i[of] != j[of]) | (a < b) | ((a == b) & (level > 1))
+            top, least, most, _ = self.levels[level - 1]
+            keep &= (most[b] >= threshold * least[a]) & (most[a] >= threshold * least[b])
+            a, b = a[keep], b[keep]
+            ok = np.minimum(top[a], top[b]).sum(1, dtype=np.int64) >= needed(least[a], least[b], threshold)
+            todo.append((level - 1, a[ok], b[ok]))
+
+
+def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
     t = F.col(text).cast("string")
-    rows = df.where(F.col(key).isNotNull() & (F.length(t) > 0)).select(F.col(key).cast("string").alias("id"), t.alias("text"))
-    return spread(rows).mapInPandas(run, "id string, rep long, size int, point binary, cells array<long>")
+    return df.where(F.col(key).isNotNull() & (F.length(t) > 0)).select(F.col(key).cast("string").alias("id"), t.alias("text"))
 
 
-def _join_blocks(batches: Iterable[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (cell, left block, right block): each group is one tree, or two that are joined."""
-    held: list[pd.DataFrame] = []
+def rarity(texts: DataFrame) -> np.ndarray:
+    """How many texts have a group of each slot, over all texts (column text): a table of fixed size, added up block by block."""
+    width = 1 << SLOT - 9
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        cell, left, right = pdf["cell"].to_numpy(), pdf["left"].to_numpy(), pdf["right"].to_numpy()
-        new = np.append(True, (cell[1:] != cell[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1]))
-        starts = np.flatnonzero(new)
-        counts = np.diff(np.append(starts, len(pdf)))
-        ids = pdf["rep"].to_numpy()
-        pts = np.frombuffer(b"".join(pdf["point"]), np.uint16).reshape(-1, GROUPS)
-        block = pdf["block"].to_numpy()
-        xs, ys = [], []
-        size = pts.sum(1, dtype=np.int64)
-        # cells of one leaf: all pairs of a leaf are bounded at once, for many cells together
-        for n in np.unique(counts[counts <= LEAF]):
-            at = starts[counts == n]
-            a, b = np.triu_indices(n, 1)
-            for chunk in np.array_split(at, max(1, len(at) * len(a) * GROUPS // 8_000_000)):
-                i, j = (chunk[:, None] + a).ravel(), (chunk[:, None] + b).ravel()
-                one = (block[i] == block[j]) | (left[i] != right[i])
-                one &= (left[i] == right[i]) | (block[i] != block[j])
-                i, j = i[one], j[one]
-                ok = np.minimum(pts[i], pts[j]).sum(1, dtype=np.int64) >= needed(size[i], size[j], threshold)
-                xs.append(ids[i[ok]])
-                ys.append(ids[j[ok]])
-        for s, n in zip(starts[counts > LEAF], counts[counts > LEAF], strict=True):
-            rows = slice(s, s + n)
-            if left[s] == right[s]:
-                t = Tree(ids[rows], pts[rows])
-                found = list(join_trees(t, t, threshold, True))
-            else:
-                mine = block[rows] == left[s]
-                found = list(join_trees(Tree(ids[rows][mine], pts[rows][mine]), Tree(ids[rows][~mine], pts[rows][~mine]), threshold, False)) if mine.any() and not mine.all() else []
-            xs += [x for x, _ in found]
-            ys += [y for _, y in found]
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-        out = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-        return out[out["a"] != out["b"]].drop_duplicates()
+    def tally(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(1 << SLOT, np.int64)
+        for pdf in batches:
+            for s in sets_of(pdf["text"]):
+                if s is not None:
+                    np.add.at(counts, (s >> np.uint64(64 - SLOT)).astype(np.int64), 1)
+        blocks = counts.reshape(-1, width)
+        used = np.flatnonzero(blocks.any(axis=1))
+        if len(used):
+            yield pd.DataFrame({"block": used.astype(np.int32), "n": [b.tobytes() for b in blocks[used]]})
+
+    def add_up(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for block, n in zip(pdf["block"], pdf["n"], strict=True):
+                n = np.frombuffer(n, np.int64)
+                sums[block] = sums[block] + n if block in sums else n
+        if sums:
+            yield pd.DataFrame({"block": list(sums), "n": [np.minimum(n, (1 << 31) - 1).astype(np.int32).tobytes() for n in sums.values()]})
+
+    schema = "block int, n binary"
+    out = np.zeros((1 << 9, width), np.int32)
+    for row in spread(texts.select("text")).mapInPandas(tally, schema).repartition("block").mapInPandas(add_up, schema).collect():
+        out[row.block] = np.frombuffer(row.n, np.int32)
+    return out.reshape(-1)
+
+
+def features(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+    """Columns id, rep and check (128 bits of each text's set), size, point, and the parts it is filed under; of equal sets that
+    one task meets, only the first is filed."""
+    rows = _texts(df, key, text)
+    table = rarity(rows)
+    usual = float(np.median(table))
+    sent = df.sparkSession.sparkContext.broadcast(table)  # 4 << SLOT bytes at every size
+    block, none = BLOCK, np.zeros(0, np.uint64)
 
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for pdf in batches:
+            out, groups = [], []
+            for k, s in zip(pdf["id"], sets_of(pdf["text"]), strict=True):
+                if s is None:
+                    continue
+                rep, check = name_of(s)
+                groups.append(filed_under(s, sent.value, threshold) if rep not in seen else none)
+                seen.add(rep)
+                out.append((k, rep, check, len(s), point(s).tobytes()))
+            rows = pd.DataFrame(out, columns=["id", "rep", "check", "size", "point"])
+            rows["parts"] = part_names(groups, rows["rep"].tolist(), sent.value, usual, block)
+            yield rows
+
+    return spread(rows).mapInPandas(run, "id string, rep long, check long, size int, point binary, parts array<long>")
+
+
+def _whole_parts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames sorted by part, put together so that no part goes on in the next."""
+    held: list[pd.DataFrame] = []
     for pdf in batches:
         if not len(pdf):
             continue
-        held.append(pdf)
-        whole = pd.concat(held, ignore_index=True) if len(held) > 1 else pdf
-        key = whole[["cell", "left", "right"]].to_numpy()
-        last = np.flatnonzero((key != key[-1]).any(1))
-        cut = last[-1] + 1 if len(last) else 0
-        if cut:
-            yield work(whole.iloc[:cut])
-            held = [whole.iloc[cut:]]
+        part = pdf["part"].to_numpy()
+        other = np.flatnonzero(part != part[-1])
+        if len(other):
+            yield pd.concat([*held, pdf.iloc[: other[-1] + 1]], ignore_index=True)
+            held = [pdf.iloc[other[-1] + 1 :]]
+        elif held and held[-1]["part"].iat[-1] != part[0]:
+            yield pd.concat(held, ignore_index=True)
+            held = [pdf]
         else:
-            held = [whole]
-    if held and len(held[0]):
-        yield work(pd.concat(held, ignore_index=True))
-
-
-def candidates(points: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Columns a, b: pairs of sets (by rep) that meet in a cell and whose points can reach the threshold.
-
-    ``points`` has rep, size, point, cells, one row a set.
-    """
-    rows = points.select("rep", F.explode("cells").alias("cell"))
-    # counts are combined before they move, so that a hot cell is one row a task; its rows are then dealt to blocks
-    crowded = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = rows.join(crowded, "cell").select("cell", "rep", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    shared = materialize(shared.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "cells")
-    # a cell of several blocks is joined block by block; nearly all cells have one
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("left"), F.greatest("block", k).alias("right")))
-    tiled = shared.select("cell", "rep", "block", F.explode(pairs).alias("t"))
-    tiled = tiled.select("cell", "rep", "block", "t.left", "t.right").join(points.select("rep", "point"), "rep")
-    ordered = tiled.repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right")
-    found = ordered.mapInPandas(lambda batches: _join_blocks(batches, threshold), "a long, b long")
-    return found.distinct()
+            held.append(pdf)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _shared_parts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows sorted by part and rep, the parts of several sets; parts of the same sets come once and are named by them."""
+    seen: set[int] = set()
+    for pdf in _whole_parts(batches):
+        part, rep = pdf["part"].to_numpy(), pdf["rep"].to_numpy()
+        once = np.append(True, (part[1:] != part[:-1]) | (rep[1:] != rep[:-1]))
+        part, rep = part[once], rep[once]
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        n = np.diff(np.append(starts, len(part)))
+        with np.errstate(over="ignore"):
+            name = _mixed(np.add.reduceat(_mixed(rep.view(np.uint64) * _MIX), starts) + n.astype(np.uint64)).view(np.int64)
+        _, first = np.unique(name, return_index=True)
+        take = np.zeros(len(name), bool)
+        take[first] = True
+        take &= n > 1
+        take[take] = [x not in seen for x in name[take].tolist()]
+        seen.update(name[take].tolist())
+        if len(seen) > 1 << 21:  # only spares repeated work
+            seen.clear()
+        rows = np.repeat(take, n)
+        if rows.any():
+            yield pd.DataFrame({"part": np.repeat(name, n)[rows], "rep": rep[rows]})
+
+
+def _join_parts(batches: Iterable[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    for pdf in _whole_parts(batches):
+        pdf = pdf.drop_duplicates(["part", "rep"])
+        points = np.frombuffer(b"".join(pdf["point"]), np.uint32).reshape(-1, GROUPS)
+        found = list(Forest(pdf["part"].to_numpy(), pdf["rep"].to_numpy(), points).pairs(threshold))
+        if found:
+            x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+
+
+def candidates(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Columns a, b: pairs of sets (by rep) that meet in a part of the tree and whose boxes and points can reach the threshold."""
+    filed = members.select(F.explode("parts").alias("part"), "rep").repartition("part").sortWithinPartitions("part", "rep")
+    shared = filed.mapInPandas(_shared_parts, "part long, rep long")
+    points = members.groupBy("rep").agg(F.min(F.struct("id", "point")).alias("m")).select("rep", "m.point")
+    ordered = shared.join(points, "rep").repartition("part").sortWithinPartitions("part")
+    return ordered.mapInPandas(lambda batches: _join_parts(batches, threshold), "a long, b long").distinct()
 
 
 def _verify(batches: Iterable[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
@@ -241,18 +353,17 @@ def _verify(batches: Iterable[pd.DataFrame], threshold: float) -> Iterator[pd.Da
 
 def similar_sets(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(pairs of sets a, b, similarity; membership id, rep of the texts). Texts with equal sets share one rep."""
-    members = materialize(features(df, key, text), "points")
-    points = members.groupBy("rep").agg(F.min(F.struct("id", "size", "point", "cells")).alias("m")).select("rep", "m.id", "m.size", "m.point", "m.cells")
-    points = materialize(points, "sets")
-    pairs = materialize(candidates(points, threshold), "candidates")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(points.select("rep", "id"), "rep")
-    t = F.col(text).cast("string")
-    texts = df.select(F.col(key).cast("string").alias("id"), t.alias("text")).join(need, "id")
+    members = materialize(features(df, key, text, threshold), "points")
+    pairs = materialize(candidates(members, threshold), "candidates")
+    clash = F.raise_error(F.lit("two sets share a 64-bit hash"))
+    named = members.groupBy("rep").agg(F.when(F.min("check") == F.max("check"), F.min("id")).otherwise(clash).alias("id"))
+    need = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(named, "rep")
+    texts = _texts(df, key, text).join(need, "id")
 
     def again(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sets = [shingles(t) for t in pdf["text"]]
-            ok = [i for i, s in enumerate(sets) if s is not None]
+            sets = list(sets_of(pdf["text"]))
+            ok = [i for i, (s, rep) in enumerate(zip(sets, pdf["rep"], strict=True)) if s is not None and name_of(s)[0] == rep]  # a key may have several texts
             yield pd.DataFrame({"rep": pdf["rep"].to_numpy()[ok], "s": [sets[i].tobytes() for i in ok]})
 
     sets = materialize(texts.mapInPandas(again, "rep long, s binary").dropDuplicates(["rep"]), "runs")
@@ -271,7 +382,13 @@ def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = THRESHO
     m = members.distinct()
     a, b = m.select(F.col("rep").alias("a"), F.col("id").alias("x")), m.select(F.col("rep").alias("b"), F.col("id").alias("y"))
     apart = pairs.join(a, "a").join(b, "b").select("x", "y", "similarity")
-    equal = m.alias("l").join(m.alias("r"), "rep").where("l.id < r.id").select(F.col("l.id").alias("x"), F.col("r.id").alias("y"), F.lit(1.0).alias("similarity"))
+    # texts of one set are dealt to blocks, and the blocks joined: no task holds all copies of a text
+    copies = m.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = m.join(copies, "rep").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("left"), F.greatest("own", k).alias("right")))
+    dealt = dealt.select("rep", "id", "own", F.explode(tiles).alias("t")).select("rep", "id", "own", "t.*")
+    met = dealt.alias("l").join(dealt.alias("r"), ["rep", "left", "right"]).where("l.id < r.id and (left = right or l.own <> r.own)")
+    equal = met.select(F.col("l.id").alias("x"), F.col("r.id").alias("y"), F.lit(1.0).alias("similarity"))
     both = apart.unionByName(equal).where("x <> y")
     return both.select(F.least("x", "y").alias("content_hash_a"), F.greatest("x", "y").alias("content_hash_b"), "similarity").dropDuplicates(["content_hash_a", "content_hash_b"])
 

@@ -201,7 +201,16 @@ QUERIES = {
     "p7_stage_percentiles": p7_stage_percentiles,
     "p7_merged_days": p7_merged_days,
 }
+_RUNS = r"""
+with w as (select content_hash, regexp_extract_all(lower(extracted_text), '[\p{L}\p{N}]+') as w from file_embedding where extracted_text is not null and content_hash is not null),
+s as (select distinct content_hash, unnest(list_transform(range(1, len(w) - 1), i -> hash(w[i], w[i + 1], w[i + 2]))) as run from w where len(w) >= 40),
+n as (select content_hash, count(*) as n from s group by content_hash),
+b as (select x.content_hash as a, y.content_hash as b, count(*) as both_ from s x join s y on x.run = y.run and x.content_hash < y.content_hash group by all)
+select a as content_hash_a, b as content_hash_b from b join n na on na.content_hash = a join n nb on nb.content_hash = b where both_ >= 0.6 * (na.n + nb.n - both_)
+"""
+
 ORACLE = {
+    "p1_found": _RUNS,
     "p5_found": "select content_hash from file_embedding where length(extracted_text) > (select max_size from size_limits where limit_name = 'embed_clip')",
     "p7_percentiles": _TIMINGS.format(day=f"{_DAY} as day,", part=f", {_DAY}", out="r.day,", error=", 0.0::double as error"),
     "p7_stage_percentiles": _TIMINGS.format(day="", part="", out="", error=""),

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -55,16 +56,58 @@ def test_hot_cells_are_joined_by_blocks(spark, monkeypatch):
     assert got == _brute(texts) and len(got) == 30 * 29 // 2
 
 
-def test_tree_join_loses_nothing():
-    rng = np.random.default_rng(1)
-    pts = rng.poisson(2, (150, N.GROUPS)).astype(np.uint16)
-    pts[75:] = pts[:75]
-    pts[75:, 0] += 1
-    tree = N.Tree(np.arange(150), pts)
-    got = {tuple(sorted(p)) for x, y in N.join_trees(tree, tree, 0.6, True) for p in zip(x.tolist(), y.tolist(), strict=True)}
+def _bounded(pts, parts):
     size = pts.sum(1).astype(int)
-    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if np.minimum(pts[i], pts[j]).sum() >= N.needed(size[i], size[j], 0.6)}
-    assert want <= got and {(i, i + 75) for i in range(75)} <= got
+    pairs = itertools.combinations(range(len(pts)), 2)
+    return {(i, j) for i, j in pairs if parts[i] == parts[j] and np.minimum(pts[i], pts[j]).sum() >= N.needed(size[i], size[j], 0.6) and min(size[i], size[j]) >= 0.6 * max(size[i], size[j])}
+
+
+def test_forest_gives_what_the_bound_allows_and_each_pair_once():
+    rng = np.random.default_rng(1)
+    pts = rng.poisson(2, (300, N.GROUPS)).astype(np.uint32) * rng.integers(1, 70_000, (300, 1)).astype(np.uint32)  # counts beyond 16 bits
+    pts[75:150] = pts[:75]
+    pts[75:150, 0] += 1
+    parts = rng.integers(0, 3, 300)
+    parts[75:150] = parts[:75]
+    forest = N.Forest(parts, np.arange(300), pts)
+    found = [tuple(sorted(p)) for x, y in forest.pairs(0.6, 1 << 8) for p in zip(x.tolist(), y.tolist(), strict=True)]
+    assert len(found) == len(set(found)) and set(found) == _bounded(pts.astype(np.int64), parts) and {(i, i + 75) for i in range(75)} <= set(found)
+    assert forest.boxes() > 300 // N.FAN and len(forest.levels) == 4  # points, leaves, boxes of leaves, roots
+    assert not list(N.Forest(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, N.GROUPS), np.uint32)).pairs(0.6))
+
+
+def test_pairs_at_the_threshold_meet_in_a_part():
+    """Whatever the order of the groups: a pair that shares enough of them is filed under one and the same."""
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        table = rng.integers(1, 5, 1 << N.SLOT).astype(np.int32)
+        n, m = int(rng.integers(10, 60)), int(rng.integers(10, 60))
+        both = -(-3 * (n + m) // 8)  # similarity 0.6
+        if both > min(n, m):
+            continue
+        shared, a, b = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (both, n - both, m - both))
+        x, y = (N.filed_under(np.unique(np.concatenate([shared, own])), table, 0.6) for own in (a, b))
+        assert np.intersect1d(x, y).size
+
+
+def test_words_are_runs_of_letters_and_digits():
+    texts = [" ".join(f"w{i} x_{i}" for i in range(30)), "Größe 12-3 naïve 給湯器 " * 12, "a" * 3000 + " b c " * 20, "\ud800 lone", "", "ŞİŞ " * 50]
+    ours = list(N.sets_of(texts))
+    for text, got in zip(texts, ours, strict=True):
+        words = re.findall(r"[^\W_]+", text.lower())
+        want = {tuple(words[i : i + 3]) for i in range(len(words) - 2)} if len(words) >= 40 else None
+        assert (got is None) == (want is None) and (got is None or len(got) == len(want))
+        assert got is None or np.array_equal(got, N.shingles(text))
+
+
+def test_copies_and_repeated_keys(spark, monkeypatch):
+    monkeypatch.setattr(N, "COPIES", 3)
+    one, two = _texts(1)["a000"], _texts(2, seed=9)["a001"]
+    rows = [(f"k{i}", one) for i in range(11)] + [("twice", one), ("twice", two), ("z", two)]
+    df = spark.createDataFrame(rows, "content_hash string, extracted_text string")
+    got = [tuple(r[:2]) for r in N.similar_pairs(df, "content_hash", "extracted_text").collect()]
+    names = sorted([f"k{i}" for i in range(11)] + ["twice"])
+    assert sorted(got) == sorted([*itertools.combinations(names, 2), ("twice", "z")])
 
 
 def test_empty_table_and_classes(spark):
