@@ -36,6 +36,11 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage when the process ends."""
+    atexit.register(_drop, spark, path)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -44,7 +49,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/driftnet/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
+    forget(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
