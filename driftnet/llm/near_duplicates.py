@@ -19,6 +19,7 @@ A part that the counts say is large is cut into blocks of rows, joined block by
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -33,9 +34,9 @@ WORDS = 3
 LEAST_WORDS = 40
 THRESHOLD = 0.6
 #: Bits of a fine group; of these the first SLOT choose its place in the table of counts.
-FINE, SLOT = 32, 21
+FINE, SLOT = 32, 22
 #: Coordinates of a point in the boxes.
-GROUPS = 64
+GROUPS = 256
 #: Children of a box.
 FAN = 8
 #: Rows of a block of a large part.
@@ -118,6 +119,16 @@ def point(sh: np.ndarray) -> np.ndarray:
     return np.bincount(((sh >> np.uint64(64 - FINE)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A point in a byte a count, or in four where a count needs more."""
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
+
+def unpacked(points: Iterable[bytes]) -> np.ndarray:
+    rows = [np.frombuffer(p, np.uint8 if len(p) == GROUPS else np.uint32) for p in points]
+    return np.stack(rows).astype(np.int32 if max(map(len, points)) > GROUPS else np.int16) if rows else np.zeros((0, GROUPS), np.int16)
+
+
 def name_of(sh: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set."""
     import xxhash
@@ -130,35 +141,39 @@ def needed(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return threshold / (1 + threshold) * (a + b) - 1e-6
 
 
-def filed_under(sh: np.ndarray, table: np.ndarray, threshold: float) -> np.ndarray:
-    """The fine groups of a set under which it is filed: its rarest, until what is left can't hold a partner's share."""
+def filed_under(sh: np.ndarray, table: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(fine groups of a set under which it is filed, reach at each): its rarest groups, until what is left can't hold a partner's
+    share. Reach: the largest partner whose rarest shared group this can be, as the counts from it on must hold the share."""
     groups = sh >> np.uint64(64 - FINE)
     starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
     groups, counts = groups[starts], np.diff(np.append(starts, len(sh)))
     order = np.argsort(table[(groups >> np.uint64(FINE - SLOT)).astype(np.int64)], kind="stable")  # ties by group
     left = len(sh) - np.cumsum(counts[order])
     take = int(np.searchsorted(-left, -(np.ceil(threshold * len(sh) - 1e-6) - 1))) + 1
-    return groups[order[:take]]
-
-
-def part_names(groups: list[np.ndarray], reps: list[int], table: np.ndarray, usual: float, block: int) -> list[np.ndarray]:
-    """Names of the parts for each set's groups; a group that many texts have is cut into blocks and named by pairs of blocks."""
-    if not groups:
-        return []
-    flat = np.concatenate(groups)
-    ends = np.cumsum([len(g) for g in groups])
-    names = np.split(_mixed(flat * _MIX).view(np.int64), ends[:-1])
+    order, left = order[:take], left[:take]
+    return groups[order], np.floor((left + counts[order]) * (1 + threshold) / threshold - len(sh) + 1e-6).astype(np.int32)
+
+
+def part_names(filed: list[tuple[np.ndarray, np.ndarray]], reps: list[int], table: np.ndarray, usual: float, block: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(names of the parts, reach in them) for each set's groups; a group that many texts have is cut into blocks and named by
+    pairs of blocks."""
+    if not filed:
+        return [], []
+    flat, far = (np.concatenate(x) for x in zip(*filed, strict=True))
+    ends = np.cumsum([len(g) for g, _ in filed])
+    names, reach = np.split(_mixed(flat * _MIX).view(np.int64), ends[:-1]), np.split(far, ends[:-1])
     blocks = np.maximum(1, np.ceil((table[(flat >> np.uint64(FINE - SLOT)).astype(np.int64)] - usual) / block)).astype(np.int64)
     for k in np.unique(np.searchsorted(ends, np.flatnonzero(blocks > 1), side="right")).tolist():
-        n = blocks[ends[k] - len(groups[k]) : ends[k]]
+        n = blocks[ends[k] - len(filed[k][0]) : ends[k]]
         out = [names[k][n == 1]]
-        for g, b in zip(groups[k][n > 1], n[n > 1].tolist(), strict=True):
+        for g, b in zip(filed[k][0][n > 1], n[n > 1].tolist(), strict=True):
             own = _mixed(np.array([reps[k]], np.int64).view(np.uint64) ^ g) % np.uint64(b)
             others = np.arange(b, dtype=np.uint64)
             left, right = np.minimum(others, own), np.maximum(others, own)
             out.append(_mixed(_mixed(_mixed(g * _MIX + left + np.uint64(1)) + right + np.uint64(1)) + np.uint64(b)).view(np.int64))
         names[k] = np.concatenate(out)
-    return names
+        reach[k] = np.concatenate([reach[k][n == 1], np.repeat(reach[k][n > 1], n[n > 1])])
+    return names, reach
 
 
 class Forest:
@@ -169,7 +184,7 @@ class Forest:
         order = np.lexsort((size, parts))
         parts, self.ids = parts[order], ids[order]
         #: (largest counts, smallest and largest size, first child of each box and the end), points first
-        self.levels = [(points[order].astype(np.int32), size[order], size[order], None)]
+        self.levels = [(points[order], size[order], size[order], None)]
         owner = np.cumsum(np.append(True, parts[1:] != parts[:-1])) - 1 if len(parts) else np.zeros(0, np.int64)
         trees = owner[-1] + 1 if len(owner) else 0
         while len(owner) and (len(owner) > trees or len(self.levels) == 1):
@@ -230,13 +245,14 @@ def rarity(texts: DataFrame) -> np.ndarray:
         blocks = counts.reshape(-1, width)
         used = np.flatnonzero(blocks.any(axis=1))
         if len(used):
-            yield pd.DataFrame({"block": used.astype(np.int32), "n": [b.tobytes() for b in blocks[used]]})
+            yield pd.DataFrame({"block": used.astype(np.int32), "n": [zlib.compress(b.astype(np.uint8 if b.max() < 256 else np.int64).tobytes(), 1) for b in blocks[used]]})
 
     def add_up(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for pdf in batches:
             for block, n in zip(pdf["block"], pdf["n"], strict=True):
-                n = np.frombuffer(n, np.int64)
+                n = zlib.decompress(n)
+                n = np.frombuffer(n, np.uint8 if len(n) == width else np.int64).astype(np.int64)
                 sums[block] = sums[block] + n if block in sums else n
         if sums:
             yield pd.DataFrame({"block": list(sums), "n": [np.minimum(n, (1 << 31) - 1).astype(np.int32).tobytes() for n in sums.values()]})
@@ -249,30 +265,30 @@ def rarity(texts: DataFrame) -> np.ndarray:
 
 
 def features(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
-    """Columns id, rep and check (128 bits of each text's set), size, point, and the parts it is filed under; of equal sets that
-    one task meets, only the first is filed."""
+    """Columns id, rep and check (128 bits of each text's set), size, point, and the parts it is filed under with its reach in
+    each; of equal sets that one task meets, only the first is filed."""
     rows = _texts(df, key, text)
     table = rarity(rows)
     usual = float(np.median(table))
     sent = df.sparkSession.sparkContext.broadcast(table)  # 4 << SLOT bytes at every size
-    block, none = BLOCK, np.zeros(0, np.uint64)
+    block, none = BLOCK, (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for pdf in batches:
-            out, groups = [], []
+            out, filed = [], []
             for k, s in zip(pdf["id"], sets_of(pdf["text"]), strict=True):
                 if s is None:
                     continue
                 rep, check = name_of(s)
-                groups.append(filed_under(s, sent.value, threshold) if rep not in seen else none)
+                filed.append(filed_under(s, sent.value, threshold) if rep not in seen else none)
                 seen.add(rep)
-                out.append((k, rep, check, len(s), point(s).tobytes()))
+                out.append((k, rep, check, len(s), packed(point(s))))
             rows = pd.DataFrame(out, columns=["id", "rep", "check", "size", "point"])
-            rows["parts"] = part_names(groups, rows["rep"].tolist(), sent.value, usual, block)
+            rows["parts"], rows["reach"] = part_names(filed, rows["rep"].tolist(), sent.value, usual, block)
             yield rows
 
-    return spread(rows).mapInPandas(run, "id string, rep long, check long, size int, point binary, parts array<long>")
+    return spread(rows).mapInPandas(run, "id string, rep long, check long, size int, point binary, parts array<long>, reach array<int>")
 
 
 def _whole_parts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,15 +311,35 @@ def _whole_parts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def _shared_parts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by part and rep, the parts of several sets; parts of the same sets come once and are named by them."""
+def _of_others(values: np.ndarray, starts: np.ndarray, n: np.ndarray, pick: np.ufunc, none: int) -> np.ndarray:
+    """For each row the smallest or largest value (as ``pick`` says) of the other rows of its part."""
+    best = np.repeat(pick.reduceat(values, starts), n)
+    at = np.flatnonzero(values == best)
+    part = np.repeat(np.arange(len(n)), n)
+    first = at[np.append(True, part[at][1:] != part[at][:-1])]
+    rest = values.copy()
+    rest[first] = none
+    best[first] = pick.reduceat(rest, starts)
+    return best
+
+
+def _shared_parts(batches: Iterable[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """Of rows sorted by part and rep, the parts of several sets, without sets that no other of the part is in reach of; parts of
+    the same sets come once and are named by them."""
     seen: set[int] = set()
     for pdf in _whole_parts(batches):
-        part, rep = pdf["part"].to_numpy(), pdf["rep"].to_numpy()
-        once = np.append(True, (part[1:] != part[:-1]) | (rep[1:] != rep[:-1]))
-        part, rep = part[once], rep[once]
-        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        n = np.diff(np.append(starts, len(part)))
+        part, rep, size, reach = (pdf[c].to_numpy() for c in ("part", "rep", "size", "reach"))
+        keep = np.append(True, (part[1:] != part[:-1]) | (rep[1:] != rep[:-1]))
+        for _ in range(3):
+            part, rep, size, reach = part[keep], rep[keep], size[keep], reach[keep]
+            if not len(part):
+                break
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            n = np.diff(np.append(starts, len(part)))
+            keep = np.repeat(n, n) > 1
+            keep &= (_of_others(size, starts, n, np.minimum, 1 << 30) <= reach) & (_of_others(reach, starts, n, np.maximum, -1) >= size) & (_of_others(size, starts, n, np.maximum, -1) >= threshold * size)
+        if not len(part):
+            continue
         with np.errstate(over="ignore"):
             name = _mixed(np.add.reduceat(_mixed(rep.view(np.uint64) * _MIX), starts) + n.astype(np.uint64)).view(np.int64)
         _, first = np.unique(name, return_index=True)
@@ -322,8 +358,7 @@ def _shared_parts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _join_parts(batches: Iterable[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
     for pdf in _whole_parts(batches):
         pdf = pdf.drop_duplicates(["part", "rep"])
-        points = np.frombuffer(b"".join(pdf["point"]), np.uint32).reshape(-1, GROUPS)
-        found = list(Forest(pdf["part"].to_numpy(), pdf["rep"].to_numpy(), points).pairs(threshold))
+        found = list(Forest(pdf["part"].to_numpy(), pdf["rep"].to_numpy(), unpacked(pdf["point"])).pairs(threshold))
         if found:
             x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
             yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
@@ -331,8 +366,9 @@ def _join_parts(batches: Iterable[pd.DataFrame], threshold: float) -> Iterator[p
 
 def candidates(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Columns a, b: pairs of sets (by rep) that meet in a part of the tree and whose boxes and points can reach the threshold."""
-    filed = members.select(F.explode("parts").alias("part"), "rep").repartition("part").sortWithinPartitions("part", "rep")
-    shared = filed.mapInPandas(_shared_parts, "part long, rep long")
+    filed = members.select(F.explode(F.arrays_zip("parts", "reach")).alias("f"), "rep", "size").select(F.col("f.parts").alias("part"), "rep", "size", "f.reach")
+    filed = filed.repartition("part").sortWithinPartitions("part", "rep")
+    shared = filed.mapInPandas(lambda batches: _shared_parts(batches, threshold), "part long, rep long")
     points = members.groupBy("rep").agg(F.min(F.struct("id", "point")).alias("m")).select("rep", "m.point")
     ordered = shared.join(points, "rep").repartition("part").sortWithinPartitions("part")
     return ordered.mapInPandas(lambda batches: _join_parts(batches, threshold), "a long, b long").distinct()

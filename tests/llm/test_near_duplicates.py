@@ -86,8 +86,8 @@ def test_pairs_at_the_threshold_meet_in_a_part():
         if both > min(n, m):
             continue
         shared, a, b = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (both, n - both, m - both))
-        x, y = (N.filed_under(np.unique(np.concatenate([shared, own])), table, 0.6) for own in (a, b))
-        assert np.intersect1d(x, y).size
+        x, y = (dict(zip(*map(list, N.filed_under(np.unique(np.concatenate([shared, own])), table, 0.6)), strict=True)) for own in (a, b))
+        assert any(x[g] >= m and y[g] >= n for g in x.keys() & y.keys())
 
 
 def test_words_are_runs_of_letters_and_digits():
