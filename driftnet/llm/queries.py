@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from driftnet.llm import emails, mixing, mojibake, near_duplicates, neighbours, packing, percentiles, residue, scans, splitting, tokens
-from driftnet.runtime import day_of, materialize, table
+from driftnet.runtime import day_of, forget, materialize, shared_dir, table
 
 
 def p1_found(spark, sf_dir):
@@ -109,8 +111,7 @@ def p5_found(spark, sf_dir):
     """Contents that were split, because their text exceeds the embed_clip limit."""
     lim = _limits(spark, sf_dir)["embed_clip"]
     e = table(spark, sf_dir, "file_embedding")
-    tables = splitting.text_boundaries(e, "content_hash", "extracted_text", lim["max_size"])
-    return splitting.cut(tables, lim["max_size"], lim["overlap"]).where("piece > 0").select(F.col("id").alias("content_hash")).distinct()
+    return splitting.oversized(e, "content_hash", "extracted_text", lim["max_size"], lim["overlap"]).select(F.col("id").alias("content_hash"))
 
 
 def p5_pieces(spark, sf_dir):
@@ -119,6 +120,30 @@ def p5_pieces(spark, sf_dir):
     return splitting.split_texts(table(spark, sf_dir, "file_embedding"), "content_hash", "extracted_text", lim["max_size"], lim["overlap"])
 
 
+def p5_rebuilt(spark, sf_dir):
+    """The hash of every split content's text as put together from its pieces, and whether all pieces are within the limit."""
+    lim = _limits(spark, sf_dir)["embed_clip"]
+    own = F.when(F.col("piece") > 0, F.substring("text", lim["overlap"] + 1, lim["max_size"])).otherwise(F.col("text"))
+    rows = p5_pieces(spark, sf_dir).select("id", "piece", "chars", own.alias("own"))
+    one = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("piece", "own"))).alias("p"), F.max("chars").alias("longest"))  # the pieces of one text
+    text = F.concat_ws("", F.transform("p", lambda x: x["own"]))
+    return one.select(F.col("id").alias("content_hash"), F.sha2(text, 256).alias("text_hash"), (F.col("longest") <= lim["max_size"]).alias("within"))
+
+
+def p5_files(spark, sf_dir, range_bytes: int = 1 << 18):
+    """Files of all texts, written to the shared folder and split by byte ranges: the characters that the pieces cover, and
+    how many pieces are over the limit."""
+    lim = _limits(spark, sf_dir)["embed_clip"]
+    folder = f"{shared_dir(spark)}/driftnet/files-{uuid.uuid4().hex}"
+    texts = table(spark, sf_dir, "file_embedding").where("extracted_text is not null").select("extracted_text")
+    texts.write.option("lineSep", "\n\n").text(folder)
+    forget(spark, folder)
+    paths = [r[0] for r in spark.read.text(folder).select(F.input_file_name()).distinct().collect()]
+    pieces = splitting.split_files(spark, paths, lim["max_size"], lim["overlap"], range_bytes)
+    covered = F.sum(F.when(F.col("piece") > 0, F.col("chars") - lim["overlap"]).otherwise(F.col("chars")))
+    return pieces.agg(covered.alias("characters"), F.count_if(F.col("chars") > lim["max_size"]).alias("over_limit"))
+
+
 def _scans(spark, sf_dir):
     return scans.label_lines(table(spark, sf_dir, "file_embedding"), "content_hash", "extracted_text")
 
@@ -186,6 +211,8 @@ QUERIES = {
     "p4_restored": p4_restored,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p5_rebuilt": p5_rebuilt,
+    "p5_files": p5_files,
     "p6_found": p6_found,
     "p6_paragraphs": p6_paragraphs,
     "p8_containers": p8_containers,
@@ -203,7 +230,7 @@ QUERIES = {
 }
 _RUNS = r"""
 with w as (select content_hash, regexp_extract_all(lower(extracted_text), '[\p{L}\p{N}]+') as w from file_embedding where extracted_text is not null and content_hash is not null),
-s as (select distinct content_hash, unnest(list_transform(range(1, len(w) - 1), i -> hash(w[i], w[i + 1], w[i + 2]))) as run from w where len(w) >= 40),
+s as (select distinct content_hash, unnest(list_transform(range(1, len(w) - 1), lambda i: hash(w[i], w[i + 1], w[i + 2]))) as run from w where len(w) >= 40),
 n as (select content_hash, count(*) as n from s group by content_hash),
 b as (select x.content_hash as a, y.content_hash as b, count(*) as both_ from s x join s y on x.run = y.run and x.content_hash < y.content_hash group by all)
 select a as content_hash_a, b as content_hash_b from b join n na on na.content_hash = a join n nb on nb.content_hash = b where both_ >= 0.6 * (na.n + nb.n - both_)
@@ -212,6 +239,8 @@ select a as content_hash_a, b as content_hash_b from b join n na on na.content_h
 ORACLE = {
     "p1_found": _RUNS,
     "p5_found": "select content_hash from file_embedding where length(extracted_text) > (select max_size from size_limits where limit_name = 'embed_clip')",
+    "p5_rebuilt": "select content_hash, sha256(extracted_text) as text_hash, true as within from file_embedding where length(extracted_text) > (select max_size from size_limits where limit_name = 'embed_clip')",
+    "p5_files": "select cast(sum(length(extracted_text) + 2) as bigint) as characters, cast(0 as bigint) as over_limit from file_embedding",
     "p7_percentiles": _TIMINGS.format(day=f"{_DAY} as day,", part=f", {_DAY}", out="r.day,", error=", 0.0::double as error"),
     "p7_stage_percentiles": _TIMINGS.format(day="", part="", out="", error=""),
 }
