@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import itertools
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -142,38 +142,45 @@ def needed(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def filed_under(sh: np.ndarray, table: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(fine groups of a set under which it is filed, reach at each): its rarest groups, until what is left can't hold a partner's
-    share. Reach: the largest partner whose rarest shared group this can be, as the counts from it on must hold the share."""
+    """(fine groups of a set under which it is filed, counts before each): its rarest groups, until what is left can't hold a
+    partner's share."""
     groups = sh >> np.uint64(64 - FINE)
     starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
     groups, counts = groups[starts], np.diff(np.append(starts, len(sh)))
     order = np.argsort(table[(groups >> np.uint64(FINE - SLOT)).astype(np.int64)], kind="stable")  # ties by group
-    left = len(sh) - np.cumsum(counts[order])
-    take = int(np.searchsorted(-left, -(np.ceil(threshold * len(sh) - 1e-6) - 1))) + 1
-    order, left = order[:take], left[:take]
-    return groups[order], np.floor((left + counts[order]) * (1 + threshold) / threshold - len(sh) + 1e-6).astype(np.int32)
+    upto = np.cumsum(counts[order])
+    take = int(np.searchsorted(upto, len(sh) - (np.ceil(threshold * len(sh) - 1e-6) - 1))) + 1
+    order, upto = order[:take], upto[:take]
+    return groups[order], upto - counts[order]
 
 
-def part_names(filed: list[tuple[np.ndarray, np.ndarray]], reps: list[int], table: np.ndarray, usual: float, block: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(names of the parts, reach in them) for each set's groups; a group that many texts have is cut into blocks and named by
-    pairs of blocks."""
+def reach(size: np.ndarray, before: np.ndarray, threshold: float) -> np.ndarray:
+    """The largest partner of a set whose rarest shared group can be one with so many counts before it: those from it on must
+    hold what the two sizes need."""
+    return np.floor((size - before) * (1 + threshold) / threshold - size + 1e-6).astype(np.int64)
+
+
+def filings(filed: list[tuple[np.ndarray, np.ndarray]], reps: list[int], table: np.ndarray, usual: float, block: int) -> list[np.ndarray]:
+    """For each set the parts it is filed under: ``FINE`` bits that name the part and above them the counts before (at most
+    2 ** 31 - 1). A group that many texts have is cut into blocks, and a pair of blocks is a part."""
     if not filed:
-        return [], []
-    flat, far = (np.concatenate(x) for x in zip(*filed, strict=True))
+        return []
+    groups, before = (np.concatenate(x) for x in zip(*filed, strict=True))
     ends = np.cumsum([len(g) for g, _ in filed])
-    names, reach = np.split(_mixed(flat * _MIX).view(np.int64), ends[:-1]), np.split(far, ends[:-1])
-    blocks = np.maximum(1, np.ceil((table[(flat >> np.uint64(FINE - SLOT)).astype(np.int64)] - usual) / block)).astype(np.int64)
+    above = np.minimum(before, (1 << 31) - 1).astype(np.uint64) << np.uint64(FINE)
+    out = np.split((groups | above).view(np.int64), ends[:-1])
+    blocks = np.maximum(1, np.ceil((table[(groups >> np.uint64(FINE - SLOT)).astype(np.int64)] - usual) / block)).astype(np.int64)
     for k in np.unique(np.searchsorted(ends, np.flatnonzero(blocks > 1), side="right")).tolist():
-        n = blocks[ends[k] - len(filed[k][0]) : ends[k]]
-        out = [names[k][n == 1]]
-        for g, b in zip(filed[k][0][n > 1], n[n > 1].tolist(), strict=True):
+        rows = slice(ends[k] - len(filed[k][0]), ends[k])
+        n, made = blocks[rows], [out[k][blocks[rows] == 1]]
+        for g, a, b in zip(groups[rows][n > 1], above[rows][n > 1], n[n > 1].tolist(), strict=True):
             own = _mixed(np.array([reps[k]], np.int64).view(np.uint64) ^ g) % np.uint64(b)
             others = np.arange(b, dtype=np.uint64)
             left, right = np.minimum(others, own), np.maximum(others, own)
-            out.append(_mixed(_mixed(_mixed(g * _MIX + left + np.uint64(1)) + right + np.uint64(1)) + np.uint64(b)).view(np.int64))
-        names[k] = np.concatenate(out)
-        reach[k] = np.concatenate([reach[k][n == 1], np.repeat(reach[k][n > 1], n[n > 1])])
-    return names, reach
+            name = _mixed(_mixed(_mixed(g * _MIX + left + np.uint64(1)) + right + np.uint64(1)) + np.uint64(b)) >> np.uint64(64 - FINE)
+            made.append((name | a).view(np.int64))
+        out[k] = np.concatenate(made)
+    return out
 
 
 class Forest:
@@ -265,13 +272,13 @@ def rarity(texts: DataFrame) -> np.ndarray:
 
 
 def features(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
-    """Columns id, rep and check (128 bits of each text's set), size, point, and the parts it is filed under with its reach in
-    each; of equal sets that one task meets, only the first is filed."""
+    """Columns id, rep and check (128 bits of each text's set), size, point, and the parts it is filed under (see
+    :func:`filings`); of equal sets that one task meets, only the first is filed."""
     rows = _texts(df, key, text)
     table = rarity(rows)
     usual = float(np.median(table))
     sent = df.sparkSession.sparkContext.broadcast(table)  # 4 << SLOT bytes at every size
-    block, none = BLOCK, (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+    block, none = BLOCK, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -285,24 +292,24 @@ def features(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -
                 seen.add(rep)
                 out.append((k, rep, check, len(s), packed(point(s))))
             rows = pd.DataFrame(out, columns=["id", "rep", "check", "size", "point"])
-            rows["parts"], rows["reach"] = part_names(filed, rows["rep"].tolist(), sent.value, usual, block)
+            rows["filed"] = filings(filed, rows["rep"].tolist(), sent.value, usual, block)
             yield rows
 
-    return spread(rows).mapInPandas(run, "id string, rep long, check long, size int, point binary, parts array<long>, reach array<int>")
+    return spread(rows).mapInPandas(run, "id string, rep long, check long, size int, point binary, filed array<long>")
 
 
-def _whole_parts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Frames sorted by part, put together so that no part goes on in the next."""
+def _whole(batches: Iterable[pd.DataFrame], name: Callable[[pd.DataFrame], np.ndarray]) -> Iterator[pd.DataFrame]:
+    """Frames sorted by ``name``, put together so that no name goes on in the next."""
     held: list[pd.DataFrame] = []
     for pdf in batches:
         if not len(pdf):
             continue
-        part = pdf["part"].to_numpy()
-        other = np.flatnonzero(part != part[-1])
+        names = name(pdf)
+        other = np.flatnonzero(names != names[-1])
         if len(other):
             yield pd.concat([*held, pdf.iloc[: other[-1] + 1]], ignore_index=True)
             held = [pdf.iloc[other[-1] + 1 :]]
-        elif held and held[-1]["part"].iat[-1] != part[0]:
+        elif held and name(held[-1].iloc[-1:])[0] != names[0]:
             yield pd.concat(held, ignore_index=True)
             held = [pdf]
         else:
@@ -323,63 +330,94 @@ def _of_others(values: np.ndarray, starts: np.ndarray, n: np.ndarray, pick: np.u
     return best
 
 
-def _shared_parts(batches: Iterable[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by part and rep, the parts of several sets, without sets that no other of the part is in reach of; parts of
-    the same sets come once and are named by them."""
-    seen: set[int] = set()
-    for pdf in _whole_parts(batches):
-        part, rep, size, reach = (pdf[c].to_numpy() for c in ("part", "rep", "size", "reach"))
+def in_reach(size: np.ndarray, far: np.ndarray, starts: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows have another row of their part that they can be similar to, as sizes and reach tell. Of parts of more than 256
+    rows some without are kept."""
+    keep = (_of_others(size, starts, n, np.minimum, 1 << 40) <= far) & (_of_others(far, starts, n, np.maximum, -1) >= size) & (_of_others(size, starts, n, np.maximum, -1) >= threshold * size)
+    for k in np.unique(n[(n > 2) & (n <= 256)]).tolist():
+        at = starts[n == k][:, None] + np.arange(k)
+        for rows in np.array_split(at, max(1, at.size * k // 2_000_000)):
+            s, f = size[rows], far[rows]
+            ok = (s[:, None, :] <= f[:, :, None]) & (s[:, None, :] >= threshold * s[:, :, None])
+            ok &= ok.transpose(0, 2, 1)
+            ok[:, np.arange(k), np.arange(k)] = False
+            keep[rows] = ok.any(2)
+    return keep
+
+
+def _trees(batches: Iterable[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """Of filings sorted by part and rep, the sets that can meet: each with the smallest set of its part, which names the tree
+    that they are put in. Parts with the same smallest set make one tree."""
+    mask = (1 << FINE) - 1
+    seen: set[tuple[int, int]] = set()
+    for pdf in _whole(batches, lambda x: x["filed"].to_numpy() & mask):
+        part, before = pdf["filed"].to_numpy() & mask, pdf["filed"].to_numpy() >> FINE
+        rep, size = pdf["rep"].to_numpy(), pdf["size"].to_numpy().astype(np.int64)
+        far = reach(size, before, threshold)
         keep = np.append(True, (part[1:] != part[:-1]) | (rep[1:] != rep[:-1]))
-        for _ in range(3):
-            part, rep, size, reach = part[keep], rep[keep], size[keep], reach[keep]
-            if not len(part):
+        for last in (False, False, True):
+            part, rep, size, far = part[keep], rep[keep], size[keep], far[keep]
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+            if last or not len(part):
                 break
-            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             n = np.diff(np.append(starts, len(part)))
             keep = np.repeat(n, n) > 1
-            keep &= (_of_others(size, starts, n, np.minimum, 1 << 30) <= reach) & (_of_others(reach, starts, n, np.maximum, -1) >= size) & (_of_others(size, starts, n, np.maximum, -1) >= threshold * size)
+            keep &= in_reach(size, far, starts, n, threshold)
         if not len(part):
             continue
-        with np.errstate(over="ignore"):
-            name = _mixed(np.add.reduceat(_mixed(rep.view(np.uint64) * _MIX), starts) + n.astype(np.uint64)).view(np.int64)
-        _, first = np.unique(name, return_index=True)
-        take = np.zeros(len(name), bool)
-        take[first] = True
-        take &= n > 1
-        take[take] = [x not in seen for x in name[take].tolist()]
-        seen.update(name[take].tolist())
-        if len(seen) > 1 << 21:  # only spares repeated work
+        n = np.diff(np.append(starts, len(part)))
+        rows = pd.DataFrame({"tree": np.repeat(rep[starts], n), "rep": rep})[np.repeat(n, n) > 1].drop_duplicates()
+        pairs = list(zip(rows["tree"].tolist(), rows["rep"].tolist(), strict=True))
+        rows = rows[[p not in seen for p in pairs]]
+        seen.update(pairs)
+        if len(seen) > 1 << 20:  # only spares repeated rows
             seen.clear()
-        rows = np.repeat(take, n)
-        if rows.any():
-            yield pd.DataFrame({"part": np.repeat(name, n)[rows], "rep": rep[rows]})
+        if len(rows):
+            yield rows
 
 
-def _join_parts(batches: Iterable[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    for pdf in _whole_parts(batches):
-        pdf = pdf.drop_duplicates(["part", "rep"])
-        found = list(Forest(pdf["part"].to_numpy(), pdf["rep"].to_numpy(), unpacked(pdf["point"])).pairs(threshold))
+def _join_trees(batches: Iterable[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    for pdf in _whole(batches, lambda x: x["tree"].to_numpy()):
+        pdf = pdf.drop_duplicates(["tree", "rep"])
+        points = unpacked(pdf["point"])
+        found = list(Forest(pdf["tree"].to_numpy(), np.arange(len(pdf)), points).pairs(threshold))
         if found:
             x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-            yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+            rep, size = pdf["rep"].to_numpy(), points.sum(1, dtype=np.int64)
+            swap = (size[x] > size[y]) | (size[x] == size[y]) & (rep[x] > rep[y])
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            yield pd.DataFrame({"a": rep[x], "b": rep[y]}).drop_duplicates()
 
 
 def candidates(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Columns a, b: pairs of sets (by rep) that meet in a part of the tree and whose boxes and points can reach the threshold."""
-    filed = members.select(F.explode(F.arrays_zip("parts", "reach")).alias("f"), "rep", "size").select(F.col("f.parts").alias("part"), "rep", "size", "f.reach")
-    filed = filed.repartition("part").sortWithinPartitions("part", "rep")
-    shared = filed.mapInPandas(lambda batches: _shared_parts(batches, threshold), "part long, rep long")
+    """Columns a, b: pairs of sets (by rep, the smaller set first) that meet in a tree and whose boxes and points can reach the
+    threshold."""
+    part = F.col("filed").bitwiseAND(F.lit((1 << FINE) - 1))
+    filed = members.select("rep", "size", F.explode("filed").alias("filed")).repartition(part).sortWithinPartitions(part, "rep")
+    trees = filed.mapInPandas(lambda batches: _trees(batches, threshold), "tree long, rep long")
     points = members.groupBy("rep").agg(F.min(F.struct("id", "point")).alias("m")).select("rep", "m.point")
-    ordered = shared.join(points, "rep").repartition("part").sortWithinPartitions("part")
-    return ordered.mapInPandas(lambda batches: _join_parts(batches, threshold), "a long, b long").distinct()
+    ordered = trees.join(points, "rep").repartition("tree").sortWithinPartitions("tree")
+    return ordered.mapInPandas(lambda batches: _join_trees(batches, threshold), "a long, b long").distinct()
+
+
+def shortened(sh: np.ndarray) -> bytes:
+    """A set as it is sent for verification: the leading 40 bits of each run's hash. Two texts of a thousand runs have one false
+    match among a million pairs."""
+    return (sh >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _longer(sent: bytes) -> np.ndarray:
+    out = np.zeros((len(sent) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(sent, np.uint8).reshape(-1, 5)
+    return out.reshape(-1).view(np.uint64)
 
 
 def _verify(batches: Iterable[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         keep, sim = [], []
         for a, b in zip(pdf["sa"], pdf["sb"], strict=True):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
+            x, y = _longer(a), _longer(b)
+            both = len(np.intersect1d(x, y))
             s = both / (len(x) + len(y) - both)
             keep.append(s >= threshold)
             sim.append(s)
@@ -393,14 +431,14 @@ def similar_sets(df: DataFrame, key: str, text: str, threshold: float = THRESHOL
     pairs = materialize(candidates(members, threshold), "candidates")
     clash = F.raise_error(F.lit("two sets share a 64-bit hash"))
     named = members.groupBy("rep").agg(F.when(F.min("check") == F.max("check"), F.min("id")).otherwise(clash).alias("id"))
-    need = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(named, "rep")
+    need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(named, "rep"), "needed")
     texts = _texts(df, key, text).join(need, "id")
 
     def again(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = list(sets_of(pdf["text"]))
             ok = [i for i, (s, rep) in enumerate(zip(sets, pdf["rep"], strict=True)) if s is not None and name_of(s)[0] == rep]  # a key may have several texts
-            yield pd.DataFrame({"rep": pdf["rep"].to_numpy()[ok], "s": [sets[i].tobytes() for i in ok]})
+            yield pd.DataFrame({"rep": pdf["rep"].to_numpy()[ok], "s": [shortened(sets[i]) for i in ok]})
 
     sets = materialize(texts.mapInPandas(again, "rep long, s binary").dropDuplicates(["rep"]), "runs")
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")

@@ -87,7 +87,7 @@ def test_pairs_at_the_threshold_meet_in_a_part():
             continue
         shared, a, b = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (both, n - both, m - both))
         x, y = (dict(zip(*map(list, N.filed_under(np.unique(np.concatenate([shared, own])), table, 0.6)), strict=True)) for own in (a, b))
-        assert any(x[g] >= m and y[g] >= n for g in x.keys() & y.keys())
+        assert any(N.reach(n, x[g], 0.6) >= m and N.reach(m, y[g], 0.6) >= n for g in x.keys() & y.keys())
 
 
 def test_words_are_runs_of_letters_and_digits():
