@@ -1,24 +1,26 @@
 """Reducing e-mails to what their sender newly wrote (problem 2).
 
-A message is read as paragraphs. What marks itself as old (header block, quote prefixes with the lines that introduce them,
-forwarded blocks with headers of their own) forms the dictionary of the thread's ancestors; the closings of all senders (what
-stands under signature rules and in notices, counted over all messages) form a second dictionary. Each remaining paragraph is
-compressed alone and under these dictionaries; an abnormal gain flags it, an exact overlap of word runs confirms it, and
-what isn't confirmed is kept. Closing formulas, signatures and device lines are told by their form and place.
+A message is read as paragraphs, and each paragraph that its form doesn't mark as old is compressed alone and under two dictionaries made
+for its message. The dictionary of ancestors holds what the message quotes and the sentences that earlier messages of the same
+thread, by other senders, hold as their own (joined by thread and sentence). The dictionary of closings holds the sentences of notices, from the
+whole collection, that share word runs with the message (joined by run). An abnormal gain flags a paragraph, an exact
+overlap of word runs confirms it, and what isn't confirmed is kept. Closing formulas are learnt too: short lines that stand above the
+sender's name in several messages. Header blocks, quote prefixes with the lines that introduce them, forwarded blocks,
+signatures and device lines are told by their form and place. Nothing is gathered on the driver or broadcast.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from email.utils import parsedate_to_datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftnet.runtime import spread
+from driftnet.runtime import materialize, spread
 
 #: A zlib dictionary holds 32 KB: what is longer is divided among several.
 DICTIONARY = 30_000
@@ -27,16 +29,16 @@ OVERLAP = 0.5
 RUN = 3
 
 _HEADER_NAME = (
-    r"(?:From|To|Cc|Bcc|Subject|Date|Sent|Reply-To|Von|An|Betreff|Datum|Gesendet|De|À|A|Objet|Envoyé|Envoyé le|Date d'envoi|Para|CC|Asunto|Enviado|Enviado el|Fecha|Message-ID|Importance)"
+    r"(?:From|To|Cc|Bcc|Subject|Date|Sent|Reply-To|Von|An|Betreff|Datum|Gesendet|De|À|A|Objet|Envoyé|Envoyé le|Date d'envoi|Para|CC|Asunto|Enviado|Enviado el|Fecha|Message-ID|Importance|Od|Do|DW|Temat|Data|Wysłano|От|Кому|Копия|Тема|Дата|Отправлено)"
 )
 HEADER = re.compile(rf"\*?{_HEADER_NAME}\s?:\*?(?:\s|\Z)", re.I)
 PREFIX = re.compile(r"\s?(?:[A-Z]{1,3}>|>|\|)")
 LOOSE_PREFIX = re.compile(r"\s?> ?[\d<>=]")
-VERB = r"(?:wrote|writes|schrieb|schreibt|a écrit|écrit|écrivait|escribió|escribe)"
+VERB = r"(?:wrote|writes|schrieb|schreibt|a écrit|écrit|écrivait|escribió|escribe|napisał(?:a|\(a\))?|pisze|пишет|написал(?:а|\(а\))?)"
 ATTRIBUTION = re.compile(rf".*\b{VERB}\b.*:\s*\Z|.*\bschrieb\b.*:\s*\Z", re.I | re.S)
-INTRODUCES = re.compile(rf"(?:\S+\s+){{0,6}}{VERB}\s?:\s*\Z|(?:on|am|le|el)\s.*{VERB}.*:\s*\Z|.*<?\S+@\S+>?.*{VERB}.*:\s*\Z|.*{VERB}\s+(?:on|am|le|el)\s.*\d{{4}}.*:\s*\Z", re.I | re.S)
+INTRODUCES = re.compile(rf"(?:\S+\s+){{0,6}}{VERB}\s?:\s*\Z|(?:on|am|le|el|w dniu|dnia|в)\s.*{VERB}.*:\s*\Z|.*<?\S+@\S+>?.*{VERB}.*:\s*\Z|.*{VERB}\s+(?:on|am|le|el|w dniu|dnia|в)\s.*\d{{4}}.*:\s*\Z", re.I | re.S)
 #: The first line of an introduction that goes on.
-FOLDED = re.compile(r"\s*(?:(?:on|am|le|el)\s.*\d|(?:[^\W\d_]+\s){1,2}[^\W\d_]*\s*<?\S*@?\S*>?\s*\Z)", re.I)
+FOLDED = re.compile(r"\s*(?:(?:on|am|le|el|w dniu|dnia|в)\s.*\d|(?:[^\W\d_]+\s){1,2}[^\W\d_]*\s*<?\S*@?\S*>?\s*\Z)", re.I)
 SEPARATOR = re.compile(
     r"\s*-{2,}\s*(?:Original Message|Forwarded message|Original Nachricht|Ursprüngliche Nachricht|Weitergeleitete Nachricht|Message d'origine|Message original|Message transféré|"
     r"Mensaje original|Mensaje reenviado|Reenviado|Forwarded by.*|Urspr. Nachricht|[^\W\d_][^\d\n]{3,40})\s*-{2,}\s*"
@@ -45,17 +47,14 @@ SEPARATOR = re.compile(
 )
 RULE = re.compile(r"\s*(?:_{8,}|={8,}|\*{8,}|-{12,}|#{8,}|~{8,}|(?:[-*_=] ?){20,})\s*")
 DELIMITER = re.compile(r"\s*(?:--|---|—|__|___|\* \* \*|\*{3}|~{2,3}|-- )\s*")
-CLOSING = re.compile(
-    r"\s*(?:(?:with )?(?:best|kind|warm|kindest|warmest|many|friendly)?\s?(?:regards|wishes|greetings)|(?:all the )?best|all the best|(?:yours )?(?:sincerely|faithfully|truly)(?: yours)?|yours|cheers|"
-    r"(?:many )?thanks(?: and (?:best|kind) regards| again| in advance)?|thank you|take care|love|speak soon|see you soon|until then|with thanks|respectfully|"
-    r"(?:mit )?(?:freundlichen|besten|herzlichen|lieben|vielen|schönen|sonnigen)?\s?(?:grüßen|grüße|grüssen|gruß|gruss|dank)|(?:beste|liebe|viele|herzliche|schöne|freundliche)\s+(?:grüße|grüsse|wünsche)|"
-    r"(?:herzlichst|hochachtungsvoll|lg|vg|mfg|bg|viele liebe grüße|vielen dank|besten dank|danke und gruß|danke(?: dir| ihnen)?|bis bald|ihre?|dein|deine)|"
-    r"(?:bien |très |amicalement |sincèrement )?(?:cordialement|à vous|amicalement|sincèrement)|cordiales salutations|salutations(?: distinguées| cordiales)?|meilleures salutations|bien à (?:vous|toi)|"
-    r"(?:merci(?: beaucoup| d'avance| et bonne journée| et à bientôt)?)|à bientôt|à plus(?: tard)?|bonne journée|amitiés|bises|bisous|je vous prie .{5,80}|veuillez agréer .{5,90}|"
-    r"(?:un|muchos|cordiales|atentos)?\s?(?:cordial |fuerte )?(?:saludos?|abrazos?)(?: cordial(?:es)?| atentos?)?|(?:muchas )?gracias(?: y un saludo| de antemano| y saludos)?|atentamente|cordialmente|hasta (?:pronto|luego)|besos|un beso)"
-    r"\s*[,.!]?\s*",
-    re.I,
-)
+#: Closing formulas to start from; those of the collection are added to them.
+SEED_FORMULAS = frozenset((
+    "best regards", "kind regards", "regards", "best wishes", "best", "all the best", "yours sincerely", "yours faithfully", "yours", "cheers", "thanks", "many thanks", "thank you", "take care", "love",
+    "mit freundlichen grüßen", "freundliche grüße", "beste grüße", "viele grüße", "liebe grüße", "herzliche grüße", "schöne grüße", "gruß", "lg", "vg", "mfg", "vielen dank", "bis bald",
+    "cordialement", "bien cordialement", "bien à vous", "bien à toi", "amicalement", "amitiés", "salutations distinguées", "merci", "à bientôt", "bises",
+    "saludos", "un saludo", "saludos cordiales", "un abrazo", "atentamente", "cordialmente", "gracias", "muchas gracias", "hasta pronto",
+    "pozdrawiam", "z poważaniem", "serdecznie pozdrawiam", "z wyrazami szacunku", "с уважением", "всего доброго", "с наилучшими пожеланиями", "до свидания",
+))
 DEVICE = re.compile(
     r"\s*(?:(?:sent|written|typed) (?:from|with|on|by) my\b[^.]{0,60}|sent (?:from|with|via) (?:the )?[^.]{0,40}(?:app|phone|mobile|tablet|mail)|get (?:the|our) [^.]{0,40}app\b.{0,40}|"
     r"(?:von|mit) (?:meinem|meiner|unterwegs)\b[^.]{0,50}\bgesendet\b.{0,50}|gesendet (?:von|mit)\b.{0,60}|"
@@ -79,41 +78,43 @@ def _words(text: str) -> list[str]:
     return _NAMES.findall(text.casefold())
 
 
+def plain(line: str) -> str:
+    """A short line as closing formulas are compared."""
+    return " ".join(line.casefold().split()).strip(" ,.!;:–—-")
+
+
 class Closings:
-    """All learnt closings: a dictionary of the commonest for compression, others made of the sentences that share word runs
-    with a text, and the word runs of all for the exact check."""
-
-    def __init__(self, sentences: list[str]):
-        first = next(_shelves(sentences, len(SEED_NOTICES)), [])  # commonest first
-        self.zdict = " ".join([*reversed(first), SEED_NOTICES.casefold()]).encode()
-        self.runs = runs(" ".join(sentences)) | runs(SEED_NOTICES)
-        self.sentences = sentences if len(first) < len(sentences) else []
-        self.places: dict[tuple[str, ...], list[int]] = {}
-        for i, s in enumerate(self.sentences):
-            for r in runs(s):
-                self.places.setdefault(r, []).append(i)
+    """What is known of closings for one message: sentences of notices, which make up its dictionaries and the word runs for
+    the exact check, and closing formulas."""
+
+    def __init__(self, sentences: Iterable[str] = (), formulas: Iterable[str] = ()):
+        self.sentences = list(sentences)
+        self.runs = _SEED_RUNS | runs("\n".join(self.sentences))
+        self.formulas = SEED_FORMULAS | set(formulas)
 
     def flags(self, text: str) -> bool:
         """Whether the text gains abnormally under one of the dictionaries."""
-        if gain(text, self.zdict) >= GAIN:
-            return True
-        shared = Counter(i for r in runs(text) for i in self.places.get(r, ()))
-        near = [self.sentences[i] for i, _ in shared.most_common()]
-        return any(gain(text, " ".join(reversed(shelf)).encode()) >= GAIN for shelf in _shelves(near))
+        seeds = SEED_NOTICES.casefold()
+        for n, shelf in enumerate(_shelves(self.sentences, len(seeds.encode()))):
+            if gain(text, " ".join([*reversed(shelf), *([seeds] if n == 0 else [])]).encode()) >= GAIN:
+                return True
+        return False
+
+    def closes(self, line: str) -> bool:
+        return plain(line) in self.formulas
 
 
 def _shelves(sentences: list[str], size: int = 0) -> Iterator[list[str]]:
-    """The sentences in order, in lists that fit one dictionary each; ``size`` bytes of the first are taken."""
+    """The sentences in order, in lists that fit one dictionary each; ``size`` bytes of the first are taken. At least one."""
     kept: list[str] = []
     for s in sentences:
         n = len(s.encode()) + 1
-        if size + n > DICTIONARY:
+        if size + n > DICTIONARY and (kept or size):
             yield kept
             kept, size = [], 0
         kept.append(s)
         size += n
-    if kept:
-        yield kept
+    yield kept
 
 
 def _stretches(old: bytes) -> Iterator[bytes]:
@@ -131,6 +132,9 @@ def runs(text: str) -> set[tuple[str, ...]]:
     return {tuple(w[i : i + RUN]) for i in range(len(w) - RUN + 1)}
 
 
+_SEED_RUNS = runs(SEED_NOTICES)
+
+
 def gain(text: str, zdict: bytes) -> float:
     """How much shorter the text compresses under the dictionary than alone."""
     raw = text.encode()
@@ -168,7 +172,7 @@ def structure(lines: list[str]) -> tuple[list[str], set[str]]:
     if i < n and HEADER.match(lines[i]):
         while i < n and marks[i] != "B":
             marks[i] = "H"
-            if re.match(r"\*?(?:From|Von|De)\s?:", lines[i], re.I) and not names:
+            if re.match(r"\*?(?:From|Von|De|Od|От)\s?:", lines[i], re.I) and not names:
                 names = _sender(lines[i])
             i += 1
     # from a forwarded block on everything is old
@@ -242,11 +246,14 @@ def _is_name(line: str, names: set[str]) -> bool:
     return bool(w) and len(w) <= 4 and (" ".join(w) in names or all(x in names for x in w))
 
 
-def classify(text: str, closings: Closings) -> list[str]:
-    """The mark of each line: N newly written, C closing or signature, D device line, L notice, and those of structure."""
+def classify(text: str, closings: Closings, ancestors_own: Iterable[str] = ()) -> list[str]:
+    """The mark of each line: N newly written, C closing or signature, D device line, L notice, and those of structure.
+
+    ancestors_own: sentences that earlier messages of the thread hold as their own."""
     lines = [x.rstrip("\r") for x in text.split("\n")]
     marks, names = structure(lines)
-    old = "\n".join(PREFIX.sub("", x) for x, m in zip(lines, marks, strict=True) if m == "Q")
+    quoted = [PREFIX.sub("", x) for x, m in zip(lines, marks, strict=True) if m == "Q"]
+    old = "\n".join([*ancestors_own, *quoted])
     ancestors, ancestor_runs = old.encode(), runs(old)
     for lo, hi in list(paragraphs(marks)):
         body = "\n".join(lines[lo:hi])
@@ -265,7 +272,9 @@ def classify(text: str, closings: Closings) -> list[str]:
         for i in range(lo, hi):
             s = lines[i].strip()
             tail = lines[i + 1 : hi]
-            if CLOSING.fullmatch(s) and (not tail or len(tail) <= 7 and (_is_name(tail[0], names) or CONTACT.search("\n".join(tail)) or len(_words(tail[0])) <= 4 and len(tail[0]) < 40)):
+            named = bool(tail) and _is_name(tail[0], names)
+            formula = closings.closes(s) or named and len(tail) <= 7 and len(_words(s)) <= 5 and len(s) < 40 and s[:1].isupper() and s[-1:] not in ".?!:" and (i == lo or lines[i - 1].rstrip()[-1:] in ".?!")
+            if formula and (not tail or len(tail) <= 7 and (_is_name(tail[0], names) or CONTACT.search("\n".join(tail)) or len(_words(tail[0])) <= 4 and len(tail[0]) < 40)):
                 cut = i
                 break
             if DELIMITER.fullmatch(lines[i]) and hi - i <= 9:
@@ -308,33 +317,138 @@ def notices(text: str) -> list[str]:
     return [re.sub(r"\d", "0", s) for s in out if 12 <= len(s) <= 400]
 
 
-def learn_closings(mails: DataFrame) -> Closings:
-    """The notice sentences of all messages (columns id, text), commonest first; each distinct one reaches the driver."""
+def _key(*parts: str) -> int:
+    import xxhash
 
-    def collect(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [s for t in pdf["text"] for s in sorted(set(notices(t)))]
-            if found:
-                yield pd.DataFrame({"s": pd.Series(found, dtype=object)})
+    return xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _open_lines(text: str) -> tuple[list[str], list[str], set[str]]:
+    """(lines, marks of structure, sender's names)"""
+    lines = [x.rstrip("\r") for x in text.split("\n")]
+    return (lines, *structure(lines))
 
-    top = spread(mails.select("text")).mapInPandas(collect, "s string").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    rows = top.orderBy(F.desc("n"), "s").collect()
-    return Closings([r["s"] for r in rows])
 
+_REPLY = re.compile(r"(?:\s*(?:re|aw|antw|fwd?|wg|tr|rv|odp|pd|sv|ответ|пересл)\s*(?:\[\d+\])?\s*:)+\s*", re.I)
 
-def marked_lines(mails: DataFrame, closings: Closings) -> DataFrame:
-    """Columns id, line_no (from 1), mark, line for all lines of the messages (columns id, text)."""
-    sent = mails.sparkSession.sparkContext.broadcast(closings)
+
+def envelope(text: str) -> tuple[str, str, float | None]:
+    """(thread: the subject without reply marks, sender's names, time sent) of the header block."""
+    subject = sender = ""
+    sent = None
+    for line in text.split("\n"):
+        if not line.strip() and (subject or sender):
+            break
+        name, _, value = line.strip().strip("*").partition(":")
+        name = name.strip().casefold()
+        if name in ("subject", "betreff", "objet", "asunto", "temat", "тема") and not subject:
+            subject = plain(_REPLY.sub("", value, count=1))
+        elif name in ("from", "von", "de", "od", "от") and not sender:
+            sender = " ".join(sorted(_sender(line)))
+        elif name in ("date", "datum", "sent", "gesendet", "fecha", "data", "дата", "envoyé", "enviado") and sent is None:
+            try:
+                sent = parsedate_to_datetime(value.strip()).timestamp()
+            except (ValueError, TypeError, OverflowError):
+                sent = None
+    return subject, sender, sent
+
+
+def sentences_of(lines: list[str], marks: list[str]) -> list[str]:
+    """Sentences of at least eight words in the open paragraphs."""
+    out = []
+    for lo, hi in paragraphs(marks):
+        joined = " ".join(x.strip() for x in lines[lo:hi])
+        out += [s for s in re.split(r"(?<=[.!?…])\s+", joined) if len(_words(s)) >= 8]
+    return out
+
+
+def _taught(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What each message teaches: kind n: a sentence of a notice; kind f: a short line, and whether it stands above the sender's name."""
+    for pdf in batches:
+        rows: set[tuple] = set()
+        for no, text in enumerate(pdf["text"]):
+            lines, marks, names = _open_lines(text)
+            rows |= {(no, "n", s, True) for s in notices(text)}
+            for i, x in enumerate(lines):
+                if not marks[i] and 0 < len(x) < 60 and len(_words(x)) <= 8 and (p := plain(x)):
+                    rows.add((no, "f", p, i + 1 < len(lines) and not marks[i + 1] and _is_name(lines[i + 1], names)))
+        yield pd.DataFrame([r[1:] for r in rows], columns=["kind", "s", "placed"])
+
+
+def _keys_of_sentences(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(_key(*r), s, n) for s, n in zip(pdf["s"], pdf["n"], strict=True) for r in runs(s)]
+        yield pd.DataFrame(rows, columns=["key", "s", "n"])
+
+
+def closings_table(mails: DataFrame) -> DataFrame:
+    """Columns key, kind, s: for every word run of a notice sentence of the collection the commonest sentence that has it, and
+    the learnt closing formulas (above the sender's name in at least two messages and three tenths of those that have the line)."""
+    seen = spread(mails.select("text")).mapInPandas(_taught, "kind string, s string, placed boolean")
+    counts = seen.groupBy("kind", "s").agg(F.count_if("placed").alias("n"), F.count(F.lit(1)).alias("all"))
+    counts = materialize(counts.where("n > 0 and (kind = 'n' or n >= 2 and n >= 0.3 * all)"), "closings")
+    by_run = counts.where("kind = 'n'").mapInPandas(_keys_of_sentences, "key long, s string, n long")
+    by_run = by_run.groupBy("key").agg(F.max(F.struct("n", "s")).alias("m")).select("key", F.lit("n").alias("kind"), F.col("m.s").alias("s"))
+    formulas = counts.where("kind = 'f'").mapInPandas(lambda batches: (pd.DataFrame({"key": [_key("f", x) for x in pdf["s"]], "s": pdf["s"]}) for pdf in batches), "key long, s string")
+    return by_run.unionByName(formulas.select("key", F.lit("f").alias("kind"), "s"))
+
+
+def _asked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The word runs and short lines of each message's open paragraphs, by key."""
+    for pdf in batches:
+        ids, keys = [], []
+        for k, text in zip(pdf["id"], pdf["text"], strict=True):
+            lines, marks, _ = _open_lines(text)
+            own = {_key(*r) for lo, hi in paragraphs(marks) for r in runs("\n".join(lines[lo:hi]))}
+            own |= {_key("f", plain(x)) for x, m in zip(lines, marks, strict=True) if not m and len(x) < 60}
+            ids += [k] * len(own)
+            keys += own
+        yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "key": pd.Series(keys, dtype="int64")})
+
+
+def _written(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for k, text in zip(pdf["id"], pdf["text"], strict=True):
+            thread, sender, sent = envelope(text)
+            if thread and sender and sent is not None:
+                lines, marks, _ = _open_lines(text)
+                rows += [(k, _key(thread, " ".join(_words(s))), sender, sent, s) for s in sentences_of(lines, marks)]
+        yield pd.DataFrame(rows, columns=["id", "key", "sender", "sent", "s"])
+
+
+def ancestors(mails: DataFrame) -> DataFrame:
+    """Columns id, old: of each message the sentences that an earlier message of its thread, by another sender, holds as its own.
+
+    A sentence of a thread is one row with its first writer, so that no pairs of messages are made."""
+    said = materialize(spread(mails).mapInPandas(_written, "id string, key long, sender string, sent double, s string"), "sentences")
+    first = said.groupBy("key").agg(F.min(F.struct("sent", "sender")).alias("first"))
+    later = said.join(first, "key").where("first.sent < sent and first.sender <> sender")
+    return later.groupBy("id").agg(F.collect_set("s").alias("old"))  # sentences of the message itself
+
+
+def dictionaries(mails: DataFrame) -> DataFrame:
+    """Columns id, text, notices, formulas, old: the messages with what their dictionaries are made of."""
+    asked = spread(mails).mapInPandas(_asked, "id string, key long").join(closings_table(mails), "key")
+    known = asked.groupBy("id").agg(F.collect_set(F.when(F.col("kind") == "n", F.col("s"))).alias("notices"), F.collect_set(F.when(F.col("kind") == "f", F.col("s"))).alias("formulas"))  # of one message's runs
+    return mails.join(known, "id", "left").join(ancestors(mails), "id", "left")
+
+
+def marked_lines(mails: DataFrame) -> DataFrame:
+    """Columns id, line_no (from 1), mark, line for all lines of the messages (columns id, text; see :func:`mail_contents`).
+
+    The messages are read several times: materialize them where they are costly. An empty table gives no rows."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for key, text in zip(pdf["id"], pdf["text"], strict=True):
-                lines = text.split("\n")
-                rows += [(key, i, m, x) for i, (m, x) in enumerate(zip(classify(text, sent.value), lines, strict=True), 1)]
+            for key, text, notices_, formulas, old in zip(pdf["id"], pdf["text"], pdf["notices"], pdf["formulas"], pdf["old"], strict=True):
+                closings = Closings(*(sorted(x) if x is not None else [] for x in (notices_, formulas)))
+                marks = classify(text, closings, sorted(old) if old is not None else [])
+                rows += [(key, i, m, x) for i, (m, x) in enumerate(zip(marks, text.split("\n"), strict=True), 1)]
             yield pd.DataFrame(rows, columns=["id", "line_no", "mark", "line"])
 
-    return spread(mails).mapInPandas(run, "id string, line_no long, mark string, line string")
+    return dictionaries(mails).mapInPandas(run, "id string, line_no long, mark string, line string")
 
 
 def mail_contents(texts: DataFrame, catalog: DataFrame) -> DataFrame:

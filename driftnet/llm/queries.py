@@ -27,7 +27,7 @@ def p1_groups(spark, sf_dir):
 
 def _mail_lines(spark, sf_dir):
     mails = materialize(emails.mail_contents(table(spark, sf_dir, "file_embedding"), table(spark, sf_dir, "file_catalog")), "mails")
-    return emails.marked_lines(mails, emails.learn_closings(mails))
+    return emails.marked_lines(mails)
 
 
 def p2_found(spark, sf_dir):

@@ -80,11 +80,23 @@ Old words.
 
 
 def test_mail_lines():
-    marks = emails.classify(MAIL, emails.Closings([]))
+    marks = emails.classify(MAIL, emails.Closings())
     new = [x for x, m in zip(MAIL.split("\n"), marks, strict=True) if m == "N"]
     assert new == ["Hello Bo,", "I agree with the plan.", "> 4 bar would be too much", "-- and that is all I know", "From: page 3 onward it is wrong.", "P.S. Bring the key."]
-    assert emails.classify("", emails.Closings([])) == ["B"]
-    assert "N" in emails.classify("only words\r\nof mine", emails.Closings([]))
+    assert emails.classify("", emails.Closings()) == ["B"]
+    assert "N" in emails.classify("only words\r\nof mine", emails.Closings())
+
+
+MAILS_ELSEWHERE = [
+    ("Od: Jan Lis <jan@x.example>\nDo: Ewa\nTemat: Odp: mur\n\nDzień dobry Ewo,\n\nMur ogrodu stoi już od maja.\n\nPozdrawiam,\nJan Lis\n\nEwa Kos napisała:\n> Czy mur już stoi?", ["Dzień dobry Ewo,", "Mur ogrodu stoi już od maja."]),
+    ("От: Иван Лис <ivan@x.example>\nКому: Анна\nТема: стена\n\nЗдравствуйте, Анна!\n\nСтена стоит с мая.\n\nС приветом,\nИван\n\nАнна Кос пишет:\n> Стоит ли стена?", ["Здравствуйте, Анна!", "Стена стоит с мая."]),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), MAILS_ELSEWHERE)
+def test_mails_in_other_languages(text, want):
+    marks = emails.classify(text, emails.Closings())
+    assert [x for x, m in zip(text.split("\n"), marks, strict=True) if m == "N"] == want
 
 
 def test_notice_without_rule_is_told_by_compression():
@@ -92,38 +104,62 @@ def test_notice_without_rule_is_told_by_compression():
     text = "From: A B <a@b.example>\nTo: C\nSubject: x\n\nHi,\n\nsome words of my own about the roof\n\n" + notice.capitalize() + " If it reached you by mistake, tell the sender at once and delete every copy."
     marks = emails.classify(text, emails.Closings([notice]))
     assert marks[-1] == "L" and marks[6] == "N"
-    zd = emails.Closings([notice]).zdict
-    assert emails.gain(notice, zd) > 0.6 > emails.gain("the kettle in the garden shed costs four pounds and ten", zd)
-
-
-def test_rare_notices_and_long_threads_are_told_too(spark, monkeypatch):
-    def word(i):
-        return "".join("bdfgklmnprstvz"[i // 14**k % 14] + "aeiou"[(i // 7 + k) % 5] for k in range(3))
-
-    notices = [" ".join(word(7 * i + 13 * k * k) for k in range(9)) + "." for i in range(1500)]
-    head = "From: Ann Lee <ann@x.org>\nTo: b@y.org\nSubject: s\n\nThe kettle in the shed costs four pounds.\n\n"
-    closings = emails.Closings(notices)
-    for body in (notices[0], notices[-1], f"{notices[5]} {notices[900]} {notices[-5]}"):
-        assert emails.classify(head + body, closings)[-1] == "L"
-    assert emails.classify(head + "We will bring the ladder and paint the shed on Sunday.", closings)[-1] == "N"
-    quoted = "\n".join("> " + s for s in notices)
-    said = f"{notices[0]}\n{notices[1]}\n{notices[2]}"
-    marks = emails.classify(f"{head}{said}\n\n{quoted}", emails.Closings([]))
+    assert emails.gain(notice, notice.encode()) > 0.6 > emails.gain("the kettle in the garden shed costs four pounds and ten", notice.encode())
+
+
+def _word(i):
+    return "".join("bdfgklmnprstvz"[i // 14**k % 14] + "aeiou"[(i // 7 + k) % 5] for k in range(3))
+
+
+HEAD = "From: Ann Lee <ann@x.org>\nTo: b@y.org\nSubject: s\n\nThe kettle in the shed costs four pounds.\n\n"
+
+
+def test_rare_notices_and_long_threads_are_told_too(spark):
+    said = [" ".join(_word(7 * i + 13 * k * k) for k in range(9)) + "." for i in range(1500)]
+    closings = emails.Closings(said)
+    for body in (said[0], said[-1], f"{said[5]} {said[900]} {said[-5]}"):
+        assert emails.classify(HEAD + body, closings)[-1] == "L"
+    assert emails.classify(HEAD + "We will bring the ladder and paint the shed on Sunday.", closings)[-1] == "N"
+    quoted = "\n".join("> " + s for s in said)
+    marks = emails.classify(f"{HEAD}{said[0]}\n{said[1]}\n{said[2]}\n\n{quoted}", emails.Closings())
     assert marks[6:9] == ["Q"] * 3
-    monkeypatch.setattr(emails, "DICTIONARY", 1200)
-    mails = spark.createDataFrame([(str(i), f"{head}Yes.\n\n{'_' * 30}\n{s}") for i, s in enumerate(notices[:150])], "id string, text string")
-    assert emails.classify(head + notices[140], emails.learn_closings(mails))[-1] == "L"
-    assert len(emails.learn_closings(mails).sentences) == 150
+    # each message gets what it shares runs with, however many notices there are
+    rows = [(str(i), f"{HEAD}Yes.\n\n{'_' * 30}\n{s}") for i, s in enumerate(said[:300])] + [("x", HEAD + said[140]), ("y", HEAD + "We will bring the ladder and paint the shed on Sunday, said Ann to me.")]
+    mails = spark.createDataFrame(rows, "id string, text string")
+    last = {r["id"]: r["mark"] for r in emails.marked_lines(mails).where("line_no = 7").collect()}
+    assert last["x"] == "L" and last["y"] == "N"
+    assert {r["id"]: r["notices"] for r in emails.dictionaries(mails).where("id = 'x'").collect()}["x"] == [said[140]]
+
+
+def test_ancestors_come_from_the_thread_without_quote_marks(spark):
+    own = "The garden wall near the old mill was painted twice by my brother last summer."
+    first = f"From: Bo Carr <bo@x.example>\nTo: Ann\nSubject: wall\nDate: Mon, 1 Jan 2024 10:00:00 +0000\n\n{own}"
+    reply = f"From: Ann Lee <ann@x.example>\nTo: Bo\nSubject: Re: wall\nDate: Tue, 2 Jan 2024 10:00:00 +0000\n\nI had no idea of that.\n\n{own}"
+    apart = reply.replace("Subject: Re: wall", "Subject: other")
+    mails = spark.createDataFrame([("first", first), ("reply", reply), ("apart", apart), ("again", first)], "id string, text string")
+    got = {(r["id"], r["mark"]) for r in emails.marked_lines(mails).collect() if r["line"] == own}
+    assert got == {("first", "N"), ("reply", "Q"), ("apart", "N"), ("again", "N")}
+    assert [r["id"] for r in emails.ancestors(mails).collect()] == ["reply"]
+
+
+def test_closing_formulas_are_learnt(spark):
+    names = ["Ann Lee", "Bo Carr", "Cy Dunn", "Di Ford"]
+    rows = [(n, f"From: {n} <a@x.example>\nTo: b\nSubject: {n}\n\nThe wall is green.\n\nUntil the cows come home,\n{n}") for n in names[:3]]
+    rows.append(("alone", "From: Di Ford <a@x.example>\nTo: b\nSubject: z\n\nThe wall is green.\n\nUntil the cows come home,"))
+    got = {r["id"]: r["mark"] for r in emails.marked_lines(spark.createDataFrame(rows, "id string, text string")).where("line_no = 7").collect()}
+    assert set(got.values()) == {"C"}
+    one = emails.marked_lines(spark.createDataFrame(rows[3:], "id string, text string")).where("line_no = 7").collect()
+    assert [r["mark"] for r in one] == ["N"]
 
 
 def test_mail_tables(spark):
     texts = spark.createDataFrame([("a", MAIL, 1), ("b", None, 1), ("c", MAIL, 1), (None, MAIL, 1)], "content_hash string, extracted_text string, id int")
     cat = spark.createDataFrame([("a", "eml"), ("a", "EML"), ("b", "msg"), (None, "eml"), ("c", "txt")], "content_hash string, ext string")
     mails = emails.mail_contents(texts, cat)
-    lines = emails.marked_lines(mails, emails.learn_closings(mails))
+    lines = emails.marked_lines(mails)
     assert {r["id"] for r in lines.collect()} == {"a"} and lines.where("mark = 'N'").count() == 6
     none = emails.mail_contents(texts.limit(0), cat)
-    assert emails.marked_lines(none, emails.learn_closings(none)).count() == 0
+    assert emails.marked_lines(none).count() == 0
 
 
 def test_residue(spark):
