@@ -8,8 +8,9 @@ together, ``GROUPS`` coordinates for the boxes below.
 The upper level cuts space by single fine coordinates, so that each part can be searched on its own machine. All groups stand
 in one order, rarest first. A partner of A shares at least t * |A| of A's counts, so the rarest group that two such texts share lies
 among the first groups of either that leave less than that behind: a text is filed under those groups of its own, and every pair that
-the bound allows meets in the part of its rarest shared group. Nothing is sampled and no pair is missed. The order comes from counts of
-all texts in a table of fixed size; an unsure order only makes parts larger.
+the bound allows meets in the part of its rarest shared group, and in as many more as their sizes ask for (see :func:`meetings`). Nothing
+is sampled and no pair is missed. The order comes from counts of all texts in a table of fixed size; an unsure order only makes
+parts larger.
 
 The points of a part are packed by size into boxes and boxes of boxes. A box's corner of largest counts bounds all pairs below
 it; pairs of boxes are followed down only while their summed minima allow a pair. What survives is verified on the whole sets.
@@ -36,7 +37,9 @@ THRESHOLD = 0.6
 #: Bits of a fine group; of these the first SLOT choose its place in the table of counts.
 FINE, SLOT = 32, 22
 #: Coordinates of a point in the boxes.
-GROUPS = 256
+GROUPS = 128
+#: Shared counts that two filings are asked for where their sizes allow.
+MEET = 6
 #: Children of a box.
 FAN = 8
 #: Rows of a block of a large part.
@@ -141,33 +144,44 @@ def needed(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return threshold / (1 + threshold) * (a + b) - 1e-6
 
 
-def filed_under(sh: np.ndarray, table: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(fine groups of a set under which it is filed, counts before each): its rarest groups, until what is left can't hold a
-    partner's share."""
+def filed_under(sh: np.ndarray, table: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fine groups of a set under which it is filed, counts in those before each, own counts): its rarest groups, until what is
+    left can't hold a partner's share."""
     groups = sh >> np.uint64(64 - FINE)
     starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
     groups, counts = groups[starts], np.diff(np.append(starts, len(sh)))
     order = np.argsort(table[(groups >> np.uint64(FINE - SLOT)).astype(np.int64)], kind="stable")  # ties by group
     upto = np.cumsum(counts[order])
-    take = int(np.searchsorted(upto, len(sh) - (np.ceil(threshold * len(sh) - 1e-6) - 1))) + 1
+    take = int(np.searchsorted(upto, len(sh) - least_shared(len(sh), threshold) + 1)) + 1
     order, upto = order[:take], upto[:take]
-    return groups[order], upto - counts[order]
+    return groups[order], upto - counts[order], counts[order]
+
+
+def least_shared(size, threshold: float):
+    """What a set shares with any partner."""
+    return np.ceil(threshold * size - 1e-6).astype(np.int64)
+
+
+def meetings(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(counts that sets of two sizes must share, counts of these that must be shared under their filings). If they share T, less
+    than T of a set's counts lie behind its first size - T + L, so at least L of those they share are among the first of both."""
+    whole = np.ceil(needed(a, b, threshold)).astype(np.int64)
+    return whole, np.minimum(MEET, whole - np.maximum(least_shared(a, threshold), least_shared(b, threshold)) + 1)
 
 
 def reach(size: np.ndarray, before: np.ndarray, threshold: float) -> np.ndarray:
-    """The largest partner of a set whose rarest shared group can be one with so many counts before it: those from it on must
-    hold what the two sizes need."""
-    return np.floor((size - before) * (1 + threshold) / threshold - size + 1e-6).astype(np.int64)
+    """The largest partner for which a filing with so many counts before it can be among the first that matter."""
+    return np.floor((size - before + MEET - 1) * (1 + threshold) / threshold - size + 1e-6).astype(np.int64)
 
 
-def filings(filed: list[tuple[np.ndarray, np.ndarray]], reps: list[int], table: np.ndarray, usual: float, block: int) -> list[np.ndarray]:
-    """For each set the parts it is filed under: ``FINE`` bits that name the part and above them the counts before (at most
-    2 ** 31 - 1). A group that many texts have is cut into blocks, and a pair of blocks is a part."""
+def filings(filed: list[tuple[np.ndarray, ...]], reps: list[int], table: np.ndarray, usual: float, block: int) -> list[np.ndarray]:
+    """For each set the parts it is filed under, in a number each: ``FINE`` bits that name the part, 24 bits of the counts before (at most all
+    ones), 7 bits of its own count. A group that many texts have is cut into blocks, and a pair of blocks is a part."""
     if not filed:
         return []
-    groups, before = (np.concatenate(x) for x in zip(*filed, strict=True))
-    ends = np.cumsum([len(g) for g, _ in filed])
-    above = np.minimum(before, (1 << 31) - 1).astype(np.uint64) << np.uint64(FINE)
+    groups, before, counts = (np.concatenate(x) for x in zip(*filed, strict=True))
+    ends = np.cumsum([len(x[0]) for x in filed])
+    above = (np.minimum(before, (1 << 24) - 1) | np.minimum(counts, 127) << 24).astype(np.uint64) << np.uint64(FINE)
     out = np.split((groups | above).view(np.int64), ends[:-1])
     blocks = np.maximum(1, np.ceil((table[(groups >> np.uint64(FINE - SLOT)).astype(np.int64)] - usual) / block)).astype(np.int64)
     for k in np.unique(np.searchsorted(ends, np.flatnonzero(blocks > 1), side="right")).tolist():
@@ -278,7 +292,7 @@ def features(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -
     table = rarity(rows)
     usual = float(np.median(table))
     sent = df.sparkSession.sparkContext.broadcast(table)  # 4 << SLOT bytes at every size
-    block, none = BLOCK, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    block, none = BLOCK, (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -345,59 +359,95 @@ def in_reach(size: np.ndarray, far: np.ndarray, starts: np.ndarray, n: np.ndarra
     return keep
 
 
+_MASK = (1 << FINE) - 1
+#: Filings handled at once.
+ROWS = 1 << 18
+
+
+def _large(frames: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    held: list[pd.DataFrame] = []
+    for pdf in frames:
+        held.append(pdf)
+        if sum(map(len, held)) >= least:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _trees(batches: Iterable[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    """Of filings sorted by part and rep, the sets that can meet: each with the smallest set of its part, which names the tree
-    that they are put in. Parts with the same smallest set make one tree."""
-    mask = (1 << FINE) - 1
-    seen: set[tuple[int, int]] = set()
-    for pdf in _whole(batches, lambda x: x["filed"].to_numpy() & mask):
-        part, before = pdf["filed"].to_numpy() & mask, pdf["filed"].to_numpy() >> FINE
-        rep, size = pdf["rep"].to_numpy(), pdf["size"].to_numpy().astype(np.int64)
-        far = reach(size, before, threshold)
+    """Of filings sorted by part and rep, those that can meet another, gathered by tree and set. A part goes into the tree of its
+    smallest set, so that parts with the same smallest set make one tree."""
+    for pdf in _large(_whole(batches, lambda x: x["filed"].to_numpy() & _MASK), ROWS):
+        filed, rep, size = pdf["filed"].to_numpy(), pdf["rep"].to_numpy(), pdf["size"].to_numpy().astype(np.int64)
+        part = filed & _MASK
         keep = np.append(True, (part[1:] != part[:-1]) | (rep[1:] != rep[:-1]))
         for last in (False, False, True):
-            part, rep, size, far = part[keep], rep[keep], size[keep], far[keep]
+            filed, rep, size = filed[keep], rep[keep], size[keep]
+            part = filed & _MASK
             starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+            n = np.diff(np.append(starts, len(part)))
             if last or not len(part):
                 break
-            n = np.diff(np.append(starts, len(part)))
             keep = np.repeat(n, n) > 1
-            keep &= in_reach(size, far, starts, n, threshold)
-        if not len(part):
-            continue
-        n = np.diff(np.append(starts, len(part)))
-        rows = pd.DataFrame({"tree": np.repeat(rep[starts], n), "rep": rep})[np.repeat(n, n) > 1].drop_duplicates()
-        pairs = list(zip(rows["tree"].tolist(), rows["rep"].tolist(), strict=True))
-        rows = rows[[p not in seen for p in pairs]]
-        seen.update(pairs)
-        if len(seen) > 1 << 20:  # only spares repeated rows
-            seen.clear()
-        if len(rows):
-            yield rows
+            keep &= in_reach(size, reach(size, filed >> FINE & (1 << 24) - 1, threshold), starts, n, threshold)
+        many = np.repeat(n, n) > 1
+        tree, rep, filed = np.repeat(rep[starts], n)[many], rep[many], filed[many]
+        if len(rep):
+            order = np.lexsort((rep, tree))
+            tree, rep, filed = tree[order], rep[order], filed[order]
+            first = np.flatnonzero(np.append(True, (tree[1:] != tree[:-1]) | (rep[1:] != rep[:-1])))
+            yield pd.DataFrame({"tree": tree[first], "rep": rep[first], "filed": [x.tobytes() for x in np.split(filed, first[1:])]})
+
+
+def met(filed: list[np.ndarray], size: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """The summed minima of pairs of sets over the filings that they share among the first of both that matter."""
+    whole, asked = meetings(size[x], size[y], threshold)
+    n = np.array([len(f) for f in filed])
+
+    def keyed(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = np.concatenate([filed[k] for k in of.tolist()])
+        pair = np.repeat(np.arange(len(of)), n[of])
+        ok = (own >> FINE & (1 << 24) - 1) < (size[of] - whole + asked)[pair]
+        key = pair[ok] << FINE | own[ok] & _MASK
+        order = np.argsort(key)
+        return key[order], (own[ok] >> FINE + 24)[order]
+
+    (kx, cx), (ky, cy) = keyed(x), keyed(y)
+    at = np.minimum(np.searchsorted(ky, kx), max(0, len(ky) - 1))
+    same = ky[at] == kx if len(ky) else np.zeros(len(kx), bool)
+    return np.bincount((kx[same] >> FINE).astype(np.int64), np.minimum(cx[same], cy[at[same]]), minlength=len(x)).astype(np.int64)
 
 
 def _join_trees(batches: Iterable[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
     for pdf in _whole(batches, lambda x: x["tree"].to_numpy()):
-        pdf = pdf.drop_duplicates(["tree", "rep"])
-        points = unpacked(pdf["point"])
-        found = list(Forest(pdf["tree"].to_numpy(), np.arange(len(pdf)), points).pairs(threshold))
-        if found:
-            x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-            rep, size = pdf["rep"].to_numpy(), points.sum(1, dtype=np.int64)
-            swap = (size[x] > size[y]) | (size[x] == size[y]) & (rep[x] > rep[y])
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            yield pd.DataFrame({"a": rep[x], "b": rep[y]}).drop_duplicates()
+        pdf = pdf.sort_values(["tree", "rep"], kind="stable")
+        tree, rep = pdf["tree"].to_numpy(), pdf["rep"].to_numpy()
+        first = np.flatnonzero(np.append(True, (tree[1:] != tree[:-1]) | (rep[1:] != rep[:-1])))
+        pieces = pdf["filed"].tolist()
+        # tasks may have met the same part only where a hash of the part sent it, so that nothing comes twice
+        filed = [np.frombuffer(b"".join(pieces[lo:hi]), np.int64) for lo, hi in zip(first, [*first[1:], len(pieces)], strict=True)]
+        points = unpacked(pdf["point"].iloc[first])
+        rep, size = rep[first], points.sum(1, dtype=np.int64)
+        for x, y in Forest(tree[first], np.arange(len(first)), points).pairs(threshold):
+            for lo in range(0, len(x), 4096):
+                p, q = x[lo : lo + 4096], y[lo : lo + 4096]
+                swap = (size[p] > size[q]) | (size[p] == size[q]) & (rep[p] > rep[q])
+                p, q = np.where(swap, q, p), np.where(swap, p, q)
+                n = met(filed, size, p, q, threshold)
+                yield pd.DataFrame({"a": rep[p], "b": rep[q], "asked": meetings(size[p], size[q], threshold)[1], "met": n})[n > 0]
 
 
 def candidates(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Columns a, b: pairs of sets (by rep, the smaller set first) that meet in a tree and whose boxes and points can reach the
-    threshold."""
-    part = F.col("filed").bitwiseAND(F.lit((1 << FINE) - 1))
+    """Columns a, b: pairs of sets (by rep, the smaller set first) that meet in a tree, whose boxes and points can reach the
+    threshold, and whose summed minima over the fine groups under which both are filed can, added up over all trees."""
+    part = F.col("filed").bitwiseAND(F.lit(_MASK))
     filed = members.select("rep", "size", F.explode("filed").alias("filed")).repartition(part).sortWithinPartitions(part, "rep")
-    trees = filed.mapInPandas(lambda batches: _trees(batches, threshold), "tree long, rep long")
+    trees = filed.mapInPandas(lambda batches: _trees(batches, threshold), "tree long, rep long, filed binary")
     points = members.groupBy("rep").agg(F.min(F.struct("id", "point")).alias("m")).select("rep", "m.point")
     ordered = trees.join(points, "rep").repartition("tree").sortWithinPartitions("tree")
-    return ordered.mapInPandas(lambda batches: _join_trees(batches, threshold), "a long, b long").distinct()
+    pairs = ordered.mapInPandas(lambda batches: _join_trees(batches, threshold), "a long, b long, asked long, met long")
+    return pairs.groupBy("a", "b").agg(F.sum("met").alias("met"), F.first("asked").alias("asked")).where("met >= asked").select("a", "b")
 
 
 def shortened(sh: np.ndarray) -> bytes:

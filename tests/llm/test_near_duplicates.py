@@ -76,18 +76,30 @@ def test_forest_gives_what_the_bound_allows_and_each_pair_once():
     assert not list(N.Forest(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, N.GROUPS), np.uint32)).pairs(0.6))
 
 
-def test_pairs_at_the_threshold_meet_in_a_part():
-    """Whatever the order of the groups: a pair that shares enough of them is filed under one and the same."""
+def test_pairs_at_the_threshold_meet_often_enough(monkeypatch):
+    """Whatever the order of the groups, and whether groups hold several runs or one."""
     rng = np.random.default_rng(7)
-    for _ in range(200):
-        table = rng.integers(1, 5, 1 << N.SLOT).astype(np.int32)
-        n, m = int(rng.integers(10, 60)), int(rng.integers(10, 60))
+    seen = 0
+    for k in range(400):
+        monkeypatch.setattr(N, "MEET", 1 + k % 9)
+        table = rng.integers(1, 5, 1 << N.SLOT).astype(np.int32) if k % 40 == 0 else table
+        n, m = int(rng.integers(10, 90)), int(rng.integers(10, 90))
         both = -(-3 * (n + m) // 8)  # similarity 0.6
         if both > min(n, m):
             continue
         shared, a, b = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (both, n - both, m - both))
-        x, y = (dict(zip(*map(list, N.filed_under(np.unique(np.concatenate([shared, own])), table, 0.6)), strict=True)) for own in (a, b))
-        assert any(N.reach(n, x[g], 0.6) >= m and N.reach(m, y[g], 0.6) >= n for g in x.keys() & y.keys())
+        if k % 2:
+            shared[1::2] = shared[::2][: len(shared[1::2])] + np.uint64(1)  # the same fine group
+        sets = [np.unique(np.concatenate([shared, own])) for own in (a, b)]
+        size = np.array([len(x) for x in sets])
+        filed = N.filings([N.filed_under(x, table, 0.6) for x in sets], [1, 2], table, 1.0, N.BLOCK)
+        x, y = np.array([0]), np.array([1])
+        asked = N.meetings(size[x], size[y], 0.6)[1]
+        assert asked[0] >= 1 and N.met(filed, size, x, y, 0.6)[0] >= asked[0]
+        before = [dict(zip((f & N._MASK).tolist(), (f >> N.FINE & (1 << 24) - 1).tolist(), strict=True)) for f in filed]
+        assert any(N.reach(size[0], before[0][g], 0.6) >= size[1] and N.reach(size[1], before[1][g], 0.6) >= size[0] for g in before[0].keys() & before[1].keys())
+        seen += 1
+    assert seen > 100
 
 
 def test_words_are_runs_of_letters_and_digits():
