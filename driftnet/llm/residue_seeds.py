@@ -96,3 +96,24 @@ SPEAKING_SEEDS = [
     "La página de dio error 404 toda la semana, así que llamé a", "nos dijo que activáramos JavaScript antes de la clase.", "Les imprimeurs composent du faux texte comme lorem ipsum.",
     "Los impresores usan texto falso como lorem ipsum.",
 ]
+
+#: How templates write a field, ``x`` standing for its name, and what programs leave where a value was missing.
+FIELD_FORMS = (
+    "{{x}}", "{{ x }}", "${x}", "[[x]]", "<%= x %>", "<% x %>", "{% x %}", "<<x>>", "@@x@@", "%x%", "__X__", "«X»", "*|X|*", "%(x)s", "#X#", "{x}",
+    "[Your x]", "[X here]", "[Insert x]", "<your x>", "<x here>", "<insert x>", "[Ihre x]", "[X hier]", "[Votre x]", "[X ici]", "[Insérer x]", "<votre x>", "<insérer x>", "[Su x]", "[X aquí]", "[Inserte x]", "<su x>",
+)
+MISSING_VALUES = ("{0}", "{1}", "{12}", "[object Object]", "undefined", "UNDEFINED", "Undefined", "null", "NaN", "XXXX", "XXXXX", "XXXXXX", "TBD", "TODO", "____", "______", "__________")
+FIELD_NAMES = (
+    "name", "first_name", "customer", "company", "city", "date", "amount", "order_no", "address", "signature", "vorname", "kunde", "firma", "ort", "datum", "betrag", "auftragsnr", "adresse", "unterschrift",
+    "nom", "prénom", "client", "société", "ville", "montant", "commande", "adresse", "nombre", "cliente", "empresa", "ciudad", "fecha", "importe", "pedido", "dirección", "user.name", "invoice_id", "street name",
+)
+
+
+def _fields() -> list[str]:
+    made = {f.replace("x", n) if "x" in f else f.replace("X", n.upper() if f[:1] in "_*#" else n.capitalize()) for f in FIELD_FORMS for n in FIELD_NAMES}
+    return [f" {f} " for f in sorted(made)]
+
+
+#: Placeholders in running text.
+FIELD_SEEDS = _fields()
+MISSING_SEEDS = [f" {x}{end}" for x in MISSING_VALUES for end in (" ", ".", ",", "\n")]
