@@ -1,8 +1,9 @@
 """Repairing text of scanned pages: running headers and page numbers, words broken at line ends, misread characters (problem 6).
 
-The lines of a page are labelled by a linear-chain conditional model (header, body, footer) over layout features, decoded by
-Viterbi; its weights are set by hand and listed below. Broken words and misread characters are then judged against the words
-of the whole collection: counts over all texts, joined by word, never brought to one place.
+The lines of a page are labelled by a linear-chain conditional model (header, body, footer, break: body that ends inside a word) over
+layout features, decoded by Viterbi; its weights are set by hand and listed below. What the model labels as break is then checked, and
+misread characters are judged, against the words of the whole collection: counts over all texts, joined by word, never
+brought to one place.
 """
 
 from __future__ import annotations
@@ -39,11 +40,13 @@ ANY_ROW = re.compile(r"\s*(?!\d)(?:[^\s.,;:!?]+\s+){1,5}\d{1,3}\s*")
 _CELLS = re.compile(r"[,;\t]\s?[-+£$€]?\d")
 MAIL = re.compile(r"\A\s*(?:From|De|Von|Subject|Betreff|Objet|Asunto|To|An|À|Para)\s?:.*\n(?:.+\n)*?(?:To|An|À|A|Para|Subject|Betreff|Objet|Asunto|Date|Datum|Fecha)\s?:", re.I)
 
-HEADER, BODY, FOOTER = 0, 1, 2
-#: Log weights of the chain. Rows: from; columns: to.
-TURN = np.array([[-3.0, -0.1, -5.0], [-5.0, -0.05, -2.5], [-0.6, -1.2, -4.0]])
-START = np.array([-0.7, -0.7, -5.0])
-END = np.array([-4.0, -0.7, 0.0])
+HEADER, BODY, FOOTER, BREAK = 0, 1, 2, 3
+#: Labels of lines that belong to the text.
+TEXT = (BODY, BREAK)
+#: Log weights of the chain. Rows: from; columns: to. A text doesn't end in a break.
+TURN = np.array([[-3.0, -0.1, -5.0, -0.1], [-5.0, -0.05, -2.5, -0.05], [-0.6, -1.2, -4.0, -1.2], [-5.0, -0.05, -2.5, -0.05]])
+START = np.array([-0.7, -0.7, -5.0, -0.7])
+END = np.array([-4.0, -0.7, 0.0, -9.0])
 
 MIN_WIDTH, MAX_WIDTH = 30, 100
 
@@ -60,8 +63,13 @@ def _key(line: str) -> str:
     return re.sub(r"[\W\d_]+", "", s.translate(_ALIKE))
 
 
+#: "Â¬" is what a wrong encoding makes of other signs, not a break.
+_INSIDE_WORD = re.compile(rf"(?!Â)[^\W\d_]([{HYPHENS}])\s?\Z")
+_GOES_ON = re.compile(r"\s*[^\W_]")
+
+
 def emissions(lines: list[str], gaps: list[bool], feeds: list[bool], width: int) -> np.ndarray:
-    """Weights of the three labels for each non-blank line, from its layout.
+    """Weights of the four labels for each non-blank line, from its layout.
 
     gaps: a blank line before; feeds: a form feed before.
     """
@@ -70,7 +78,7 @@ def emissions(lines: list[str], gaps: list[bool], feeds: list[bool], width: int)
     # pages of one text are numbered in one style: where there is another, a bare number is a cell of a list
     styled = any(STRONG_NUMBER.fullmatch(x.strip()) or ROMAN_NUMBER.fullmatch(x.strip()) for x in lines)
     cell = [len(x) < 45 and bool(ANY_ROW.fullmatch(x.strip()) or BARE_NUMBER.fullmatch(x)) for x in lines]
-    out = np.zeros((n, 3))
+    out = np.zeros((n, 4))
     for i, line in enumerate(lines):
         s = line.strip()
         short = len(s) < 0.8 * width
@@ -104,7 +112,16 @@ def emissions(lines: list[str], gaps: list[bool], feeds: list[bool], width: int)
             h += 1.5
         if ends_page and not feeds[i]:
             f += 0.5
+        if h > -3.0 and i + 1 < n and gaps[i + 1]:
+            h += 0.3  # a running title stands off
+        if f > -3.0 and gaps[i]:
+            f += 0.3
         out[i, HEADER], out[i, FOOTER] = h, f
+        out[i, BREAK] = -9.0
+        end = _INSIDE_WORD.search(line)
+        if end and i + 1 < n:
+            after = next((x.lstrip() for x in lines[i + 1 : i + 4] if _GOES_ON.match(x)), "")
+            out[i, BREAK] = 0.6 + 1.5 * (end[1] in BREAK_MARKS) + 0.8 * after[:1].islower() + 0.4 * (not short) - 0.3 * gaps[i + 1]
     return out
 
 
@@ -112,12 +129,13 @@ def viterbi(emit: np.ndarray, feeds: list[bool]) -> list[int]:
     """The best label sequence. A form feed starts a page: only what may follow a page's end may follow it."""
     n = len(emit)
     score = START + emit[0]
-    back = np.zeros((n, 3), np.int8)
+    back = np.zeros((n, 4), np.int8)
     for i in range(1, n):
         turn = TURN.copy()
         if feeds[i]:
             turn[:, HEADER], turn[:, FOOTER] = -0.5, -6.0
-            turn[:, BODY] = -0.9
+            turn[:, BODY] = turn[:, BREAK] = -0.9
+            turn[BREAK] += 9.0 - END[BODY]  # a word may go on over the page
             score = score + END
         step = score[:, None] + turn
         back[i] = step.argmax(0)
@@ -143,15 +161,14 @@ def layout(text: str) -> list[tuple[int, str, int, bool]] | None:
     if text.count("\n") < 2 or MAIL.match(text):
         return None
     raw = text.replace("\r", "").split("\n")
-    first = 0
-    for i, line in enumerate(raw[:12]):
-        if LABEL.match(line):
-            first = i
-            raw[i] = LABEL.sub("", line)
+    first = next((i for i, line in enumerate(raw) if ":" in line and LABEL.match(line)), 0)
+    raw[first] = LABEL.sub("", raw[first])
     lengths = [len(x.strip()) for x in raw[first:] if x.strip()]
     if len(lengths) < 3:
         return None
-    width = max(lengths)
+    # a few lines that are longer than a page is wide don't belong to its layout
+    wide = sum(n > MAX_WIDTH for n in lengths)
+    width = max(lengths) if wide > max(1, 0.05 * len(lengths)) else max((n for n in lengths if n <= MAX_WIDTH), default=0)
     full = sum(n > 0.72 * width for n in lengths)
     if not MIN_WIDTH <= width <= MAX_WIDTH or full < 2 or full < 0.25 * len(lengths):
         return None
@@ -169,10 +186,10 @@ def layout(text: str) -> list[tuple[int, str, int, bool]] | None:
         feeds.append(feed)
         gap = feed = False
     labels = viterbi(emissions(lines, gaps, feeds, width), feeds)
-    marks = sum(bool(re.search(r"[^\W\d_][‐¬\xad] ?\Z", s)) for s in lines)
+    marks = sum(bool(re.search(r"(?!Â)[^\W\d_][‐¬\xad] ?\Z", s)) for s in lines)
     hyphens = sum(bool(re.search(r"[^\W\d_]- ?\Z", s)) for s in lines)
-    furniture = sum(x != BODY for x in labels)
-    firm = any(f != BODY and (STRONG_NUMBER.fullmatch(s.strip()) or TITLE_NUMBER.fullmatch(s)) for f, s in zip(labels, lines, strict=True))
+    furniture = sum(x not in TEXT for x in labels)
+    firm = any(f not in TEXT and (STRONG_NUMBER.fullmatch(s.strip()) or TITLE_NUMBER.fullmatch(s)) for f, s in zip(labels, lines, strict=True))
     if not (any(feeds) or marks or firm or furniture and hyphens or first and furniture or hyphens > 1 or furniture > 1):
         return None
     return list(zip(numbers, lines, labels, gaps, strict=True))
@@ -192,14 +209,24 @@ _INSIDE = re.compile(r"(?<=[a-zà-ÿ])[@!|015689](?=[a-zà-ÿ])|(?<=[^\W\d_])[@!
 _BAD_NUMBER = re.compile(r"(?<![\w/.-])(?=[\dOlIS.,]*\d)(?=[\dOlIS.,]*[OlIS])[\dOlIS]{2,}(?:[.,][\dOlIS]+)?(?![\w/])")
 
 
+_BY_SIGN = {sign: [meant for seen, meant in CONFUSED if seen == sign] for sign in {seen for seen, _ in CONFUSED if len(seen) == 1 and not seen.isalpha()}}
+
+
 def corrections(word: str, depth: int = 2) -> set[str]:
-    """Words that recognition may have turned into ``word`` by up to ``depth`` confusions."""
-    found, level = {word}, {word}
-    for _ in range(depth):
+    """Words of letters that recognition may have turned into ``word`` by up to ``depth`` confusions. All signs and digits have to
+    go, so a token that has more of them than ``depth`` has none, however long it is."""
+    signs = [i for i, c in enumerate(word) if not c.isalpha() and c not in "'’"]
+    if len(signs) > depth:
+        return set()
+    level = {word}
+    for i in reversed(signs):
+        level = {w[:i] + meant + w[i + 1 :] for w in level for meant in _BY_SIGN.get(word[i], ())}
+    found = set(level)
+    for _ in range(depth - len(signs)):
         new = set()
         for w in level:
             for seen, meant in CONFUSED:
-                at = w.find(seen)
+                at = w.find(seen) if meant[0].isalpha() else -1
                 while at >= 0:
                     new.add(w[:at] + meant + w[at + len(seen) :])
                     at = w.find(seen, at + 1)
@@ -232,15 +259,15 @@ def _scan_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for at, (no, line, label, gap) in enumerate(lines):
                 joined = apart = None
                 marked = misread = False
-                if label == BODY:
+                if label in TEXT:
                     misread = bool(_INSIDE.search(line) or _BAD_NUMBER.search(line))
-                    m = re.search(rf"([^\W_]+(?:['’-][^\W_]+)*)([{HYPHENS}])\s?\Z", line)
-                    after = next((x for _, x, lab, _ in lines[at + 1 :] if lab == BODY), "") if m else ""
+                    m = re.search(rf"([^\W_]+(?:['’-][^\W_]+)*)([{HYPHENS}])\s?\Z", line) if label == BREAK else None
+                    after = next((x for _, x, lab, _ in lines[at + 1 :] if lab in TEXT), "") if m else ""
                     n = re.match(r"\s*([^\W_]+(?:-[^\W_]+)*)", after)
                     if m and n and m[1][-1].isalpha():
                         marked = m[2] in BREAK_MARKS
                         joined, apart = (m[1] + n[1]).lower(), (m[1] + "-" + n[1]).lower()
-                rows.append((key, no, "body" if label == BODY else "furniture", line, joined, apart, marked, misread, gap))
+                rows.append((key, no, "body" if label in TEXT else "furniture", line, joined, apart, marked, misread, gap))
         yield pd.DataFrame(rows, columns=["id", "line_no", "label", "line", "joined", "apart", "marked", "misread", "gap"])
 
 

@@ -207,3 +207,18 @@ def test_scanned_page(spark):
     assert text[1] == "list of words 12" and text[2].startswith("The kettle stands there")
     a, b = scans.label_lines(df.limit(0), "content_hash", "extracted_text")
     assert scans.faults(a, b).count() == 0
+
+
+def test_breaks_are_a_label_and_one_long_line_does_not_hide_a_scan():
+    labels = {no: label for no, _, label in scans.scanned_lines(PAGE)}
+    assert labels[3] == scans.BREAK and labels[1] == scans.HEADER and labels[9] == scans.FOOTER and labels[5] == scans.BODY
+    longer = PAGE.replace("list of words 12", "list of words 12 " + "and so on " * 30)
+    assert {no: label for no, _, label in scans.scanned_lines(longer)} == labels | {6: scans.BODY}
+    late = "\n".join(f"key {i}, value {i}" for i in range(20)) + "\ntext in image: " + PAGE
+    assert {no - 20: label for no, _, label in scans.scanned_lines(late)} == labels
+
+
+def test_corrections_stay_few_on_long_tokens():
+    assert "moon" in scans.corrections("rnoon", 1) and "stands" in scans.corrections("st@nds", 3) and "clinic" in scans.corrections("c1in!c", 3)
+    assert not scans.corrections("aGVsbG8gd29ybGQ1234567890" * 4, 3)
+    assert len(scans.corrections("e" * 60, 1)) <= 60 * 2
