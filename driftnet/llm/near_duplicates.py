@@ -490,9 +490,10 @@ def similar_sets(df: DataFrame, key: str, text: str, threshold: float = THRESHOL
             ok = [i for i, (s, rep) in enumerate(zip(sets, pdf["rep"], strict=True)) if s is not None and name_of(s)[0] == rep]  # a key may have several texts
             yield pd.DataFrame({"rep": pdf["rep"].to_numpy()[ok], "s": [shortened(sets[i]) for i in ok]})
 
-    sets = materialize(texts.mapInPandas(again, "rep long, s binary").dropDuplicates(["rep"]), "runs")
+    sets = materialize(texts.mapInPandas(again, "rep long, s binary"), "runs")
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     good = both.mapInPandas(lambda batches: _verify(batches, threshold), "a long, b long, similarity double")
+    good = good.dropDuplicates(["a", "b"])  # a row that comes twice has brought its set twice
     return materialize(good, "verified"), members.select("id", "rep")
 
 
