@@ -362,6 +362,10 @@ def sentences_of(lines: list[str], marks: list[str]) -> list[str]:
     return out
 
 
+#: What a closing formula can look like: up to six words, no digits, no full stop, question or colon.
+_FORMULA = re.compile(r"\s*[^\W\d_]+(?:[ '’.-]+[^\W\d_]+){0,5}\s*[,!]?\s*")
+
+
 def _taught(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """What each message teaches: kind n: a sentence of a notice; kind f: a short line, and whether it stands above the sender's name."""
     for pdf in batches:
@@ -370,7 +374,7 @@ def _taught(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lines, marks, names = _open_lines(text)
             rows |= {(no, "n", s, True) for s in notices(text)}
             for i, x in enumerate(lines):
-                if not marks[i] and 0 < len(x) < 60 and len(_words(x)) <= 8 and (p := plain(x)):
+                if not marks[i] and _FORMULA.fullmatch(x) and (p := plain(x)):
                     rows.add((no, "f", p, i + 1 < len(lines) and not marks[i + 1] and _is_name(lines[i + 1], names)))
         yield pd.DataFrame([r[1:] for r in rows], columns=["kind", "s", "placed"])
 
@@ -400,7 +404,7 @@ def _asked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k, text in zip(pdf["id"], pdf["text"], strict=True):
             lines, marks, _ = _open_lines(text)
             own = {_key(*r) for lo, hi in paragraphs(marks) for r in runs("\n".join(lines[lo:hi]))}
-            own |= {_key("f", plain(x)) for x, m in zip(lines, marks, strict=True) if not m and len(x) < 60}
+            own |= {_key("f", plain(x)) for x, m in zip(lines, marks, strict=True) if not m and _FORMULA.fullmatch(x)}
             ids += [k] * len(own)
             keys += own
         yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "key": pd.Series(keys, dtype="int64")})
