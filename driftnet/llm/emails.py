@@ -332,9 +332,9 @@ def _open_lines(text: str) -> tuple[list[str], list[str], set[str]]:
 _REPLY = re.compile(r"(?:\s*(?:re|aw|antw|fwd?|wg|tr|rv|odp|pd|sv|ответ|пересл)\s*(?:\[\d+\])?\s*:)+\s*", re.I)
 
 
-def envelope(text: str) -> tuple[str, str, float | None]:
-    """(thread: the subject without reply marks, sender's names, time sent) of the header block."""
-    subject = sender = ""
+def envelope(text: str) -> tuple[str, str, str, float | None]:
+    """(thread: the subject without reply marks, sender's name, recipients' names, time sent) of the header block."""
+    subject = sender = recipients = ""
     sent = None
     for line in text.split("\n"):
         if not line.strip() and (subject or sender):
@@ -344,13 +344,15 @@ def envelope(text: str) -> tuple[str, str, float | None]:
         if name in ("subject", "betreff", "objet", "asunto", "temat", "тема") and not subject:
             subject = plain(_REPLY.sub("", value, count=1))
         elif name in ("from", "von", "de", "od", "от") and not sender:
-            sender = " ".join(sorted(_sender(line)))
+            sender = max(_sender(line), key=len, default="")
+        elif name in ("to", "cc", "an", "à", "a", "para", "do", "dw", "кому", "копия"):
+            recipients += " " + " ".join(_words(value))
         elif name in ("date", "datum", "sent", "gesendet", "fecha", "data", "дата", "envoyé", "enviado") and sent is None:
             try:
                 sent = parsedate_to_datetime(value.strip()).timestamp()
             except (ValueError, TypeError, OverflowError):
                 sent = None
-    return subject, sender, sent
+    return subject, sender, recipients + " ", sent
 
 
 def sentences_of(lines: list[str], marks: list[str]) -> list[str]:
@@ -414,20 +416,21 @@ def _written(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for k, text in zip(pdf["id"], pdf["text"], strict=True):
-            thread, sender, sent = envelope(text)
+            thread, sender, recipients, sent = envelope(text)
             if thread and sender and sent is not None:
                 lines, marks, _ = _open_lines(text)
-                rows += [(k, _key(thread, " ".join(_words(s))), sender, sent, s) for s in sentences_of(lines, marks)]
-        yield pd.DataFrame(rows, columns=["id", "key", "sender", "sent", "s"])
+                rows += [(k, _key(thread, " ".join(_words(s))), sender, recipients, sent, s) for s in sentences_of(lines, marks)]
+        yield pd.DataFrame(rows, columns=["id", "key", "sender", "recipients", "sent", "s"])
 
 
 def ancestors(mails: DataFrame) -> DataFrame:
-    """Columns id, old: of each message the sentences that an earlier message of its thread, by another sender, holds as its own.
+    """Columns id, old: of each message the sentences that an earlier message of its thread, by one of its recipients, holds as its
+    own. A thread is a subject; a message without subject, sender or date is in none.
 
     A sentence of a thread is one row with its first writer, so that no pairs of messages are made."""
-    said = materialize(spread(mails).mapInPandas(_written, "id string, key long, sender string, sent double, s string"), "sentences")
+    said = materialize(spread(mails).mapInPandas(_written, "id string, key long, sender string, recipients string, sent double, s string"), "sentences")
     first = said.groupBy("key").agg(F.min(F.struct("sent", "sender")).alias("first"))
-    later = said.join(first, "key").where("first.sent < sent and first.sender <> sender")
+    later = said.join(first, "key").where("first.sent < sent and first.sender <> sender and contains(recipients, concat(' ', first.sender, ' '))")
     return later.groupBy("id").agg(F.collect_set("s").alias("old"))  # sentences of the message itself
 
 

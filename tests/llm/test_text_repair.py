@@ -134,11 +134,11 @@ def test_rare_notices_and_long_threads_are_told_too(spark):
 def test_ancestors_come_from_the_thread_without_quote_marks(spark):
     own = "The garden wall near the old mill was painted twice by my brother last summer."
     first = f"From: Bo Carr <bo@x.example>\nTo: Ann\nSubject: wall\nDate: Mon, 1 Jan 2024 10:00:00 +0000\n\n{own}"
-    reply = f"From: Ann Lee <ann@x.example>\nTo: Bo\nSubject: Re: wall\nDate: Tue, 2 Jan 2024 10:00:00 +0000\n\nI had no idea of that.\n\n{own}"
-    apart = reply.replace("Subject: Re: wall", "Subject: other")
-    mails = spark.createDataFrame([("first", first), ("reply", reply), ("apart", apart), ("again", first)], "id string, text string")
+    reply = f"From: Ann Lee <ann@x.example>\nTo: Bo Carr <bo@x.example>\nSubject: Re: wall\nDate: Tue, 2 Jan 2024 10:00:00 +0000\n\nI had no idea of that.\n\n{own}"
+    apart, stranger = reply.replace("Subject: Re: wall", "Subject: other"), reply.replace("To: Bo Carr <bo@x.example>", "To: Cy Dunn")
+    mails = spark.createDataFrame([("first", first), ("reply", reply), ("apart", apart), ("again", first), ("stranger", stranger)], "id string, text string")
     got = {(r["id"], r["mark"]) for r in emails.marked_lines(mails).collect() if r["line"] == own}
-    assert got == {("first", "N"), ("reply", "Q"), ("apart", "N"), ("again", "N")}
+    assert got == {("first", "N"), ("reply", "Q"), ("apart", "N"), ("again", "N"), ("stranger", "N")}
     assert [r["id"] for r in emails.ancestors(mails).collect()] == ["reply"]
 
 
