@@ -44,7 +44,8 @@ def _index(store: Store, cfg, a) -> int:
 def _search(store: Store, cfg, a) -> int:
     why: list[str] = []
     tables = [store.read(n) for n in ("file_catalog", "file_embedding", "vec_embedding")]
-    hits = search.search(*tables, " ".join(a.words), a.mode, a.limit, embed=lambda t: backend(cfg).embed(t), degraded=why)
+    model = backend(cfg)  # an unknown model is an error, one that fails only degrades the search
+    hits = search.search(*tables, " ".join(a.words), a.mode, a.limit, embed=model.embed, degraded=why)
     rows = [r.asDict() for r in hits.withColumn("line", C.one_line(F.col("snippet"))).withColumn("human", C.human_size(F.col("size"))).collect()]  # at most a.limit
     if a.json:
         print(json.dumps([{k: v for k, v in r.items() if k in search.RESULT} for r in rows], ensure_ascii=False))

@@ -48,6 +48,8 @@ class Config:
     min_size_bytes: int = 16
     transcribe_max_seconds: int = 600
     ocr_languages: str = "eng+spa"
+    #: A GeoNames table that every executor can open, for the places of photos; none if empty.
+    cities_file: str = ""
     doc_ext: set[str] = field(default_factory=lambda: set(DOCUMENT_EXT))
     image_ext: set[str] = field(default_factory=lambda: set(IMAGE_EXT))
     audio_ext: set[str] = field(default_factory=lambda: set(AUDIO_EXT))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import math
+import time
 import zlib
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
@@ -71,8 +72,9 @@ def check_dim(vectors: list[list[float]], dim: int, model: str) -> None:
 
 
 def embed_column(cfg: Config):
-    """A function from a text column to struct<embedding, error>. The model is made once in a worker and fed whole batches; a
-    batch that fails is tried text by text, so that one bad text costs one row."""
+    """A function from a text column to struct<embedding, error, seconds>. The model is made once in a task, fed whole batches and
+    released at the end; a batch that fails is tried text by text, so that one bad text costs one row. Seconds: a text's
+    part of its batch's time."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = backend(cfg)
@@ -85,11 +87,16 @@ def embed_column(cfg: Config):
             except Exception as problem:
                 return [(None, f"embed failed: {problem}")] if len(texts) == 1 else [safe([t])[0] for t in texts]
 
-        for s in batches:
-            has = [i for i, t in enumerate(s) if t is not None]
-            got = dict(zip(has, safe([s.iloc[i][:EMBED_CLIP] for i in has]) if has else [], strict=True))
-            rows = [got.get(i, (None, "embed failed: no text")) for i in range(len(s))]
-            yield pd.DataFrame({"embedding": [r[0] for r in rows], "error": pd.Series([r[1] for r in rows], dtype=object)})
-
-    kind = T.StructType([T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())])
+        try:
+            for s in batches:
+                began = time.perf_counter()
+                has = [i for i, t in enumerate(s) if t is not None]
+                got = dict(zip(has, safe([s.iloc[i][:EMBED_CLIP] for i in has]) if has else [], strict=True))
+                rows = [got.get(i, (None, "embed failed: no text")) for i in range(len(s))]
+                each = (time.perf_counter() - began) / max(1, len(rows))
+                yield pd.DataFrame({"embedding": [r[0] for r in rows], "error": pd.Series([r[1] for r in rows], dtype=object), "seconds": each})
+        finally:
+            model.release()
+
+    kind = T.StructType([T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType()), T.StructField("seconds", T.DoubleType())])
     return F.pandas_udf(run, kind)

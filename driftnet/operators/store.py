@@ -5,6 +5,8 @@ from __future__ import annotations
 import fcntl
 import json
 import os
+import shutil
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -52,6 +54,7 @@ class Store:
         for name, df in tables.items():
             folder = f"{name}-{uuid.uuid4().hex}"
             df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in TABLES[name]]).write.parquet(str(self.root / folder))
+            self._private(self.root / folder)
             now["tables"][name] = folder
         now["meta"] |= {k: str(v) for k, v in (meta or {}).items()}
         draft = self.root / f".manifest-{uuid.uuid4().hex}"
@@ -59,6 +62,22 @@ class Store:
         os.chmod(draft, 0o600)
         os.replace(draft, self._manifest)
 
+    @staticmethod
+    def _private(folder: Path) -> None:
+        """Only the owner may read what was written."""
+        os.chmod(folder, 0o700)
+        for f in folder.iterdir():
+            os.chmod(f, 0o600)
+
+    def vacuum(self, older_than: float = 3600.0) -> list[str]:
+        """Remove table versions that the manifest doesn't name and that nobody has written to for so many seconds; a reader
+        that opened one before has had that long to finish. Their names."""
+        named = set(self.manifest()["tables"].values())
+        old = [f for f in self.root.iterdir() if f.is_dir() and "-" in f.name and f.name.rsplit("-", 1)[0] in TABLES and f.name not in named and time.time() - f.stat().st_mtime >= older_than]
+        for f in old:
+            shutil.rmtree(f, ignore_errors=True)
+        return sorted(f.name for f in old)
+
     @contextmanager
     def lock(self) -> Iterator[bool]:
         """Whether this is the only writer; the second one gets False and should leave."""

@@ -10,6 +10,7 @@ import re
 import shutil
 import subprocess
 import tempfile
+import time
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -175,63 +176,97 @@ def file_hash(path: str, size: int) -> str:
     return h.hexdigest()
 
 
-def describe_image(path: str) -> str:
-    """What is known of an image without a model: its folder and name, and size and date where Pillow can be imported."""
+def position(gps: dict) -> tuple[float, float] | None:
+    """Decimal degrees of an image's GPS entries (1 to 4: hemisphere and degrees, minutes, seconds, of latitude and longitude)."""
+
+    def degrees(parts, ref) -> float:
+        whole = sum(float(x) / 60**k for k, x in enumerate(list(parts)[:3]))
+        return -whole if str(ref or "")[:1].upper() in ("S", "W") else whole
+
+    try:
+        return degrees(gps[2], gps.get(1)), degrees(gps[4], gps.get(3))
+    except (KeyError, TypeError, ValueError, ZeroDivisionError):
+        return None
+
+
+def describe_image(path: str, languages: str = "", place=None) -> str:
+    """What is known of an image without a model: its folder and name; date, place, camera and size where Pillow can be
+    imported; the text in it where tesseract is there. ``place`` names the place of a latitude and longitude, or None."""
     lines = ["file: " + os.path.join(os.path.basename(os.path.dirname(path)), os.path.basename(path))]
     try:
         from PIL import Image
 
         with Image.open(path) as im:
+            size = f"size: {im.size[0]}x{im.size[1]}"
             exif = im.getexif()
-            taken = exif.get(36867) or exif.get(306)
+            detail = exif.get_ifd(0x8769)
+            taken = next((v for tag in (36867, 36868, 306) if (v := detail.get(tag) or exif.get(tag))), None)
+            at = position(exif.get_ifd(0x8825))
+            where = place(*at) if place and at else None
             lines += [f"taken: {taken}"] if taken else []
+            lines += [f"place: {where}"] if where else []
             lines += [f"camera: {str(exif.get(272)).strip()}"] if exif.get(272) else []
-            lines.append(f"size: {im.size[0]}x{im.size[1]}")
+            lines.append(size)
     except Exception:  # without Pillow, or not an image: the name stays
         pass
+    if languages:
+        try:
+            seen = run_tool(["tesseract", path, "stdout", "-l", languages], OCR_SECONDS).strip()
+            lines += [f"text in image: {seen}"] if seen else []
+        except Exception:  # no tool, or it fails: what is known without it stays
+            pass
     return clean("\n".join(lines))
 
 
 def caption_files(files: DataFrame, cfg: Config) -> DataFrame:
-    """For files (content_hash, path): content_hash, caption, error; the model is made once in a worker."""
+    """For files (content_hash, path): content_hash, caption, error, seconds; the model is made once in a task and released at
+    its end."""
     from driftnet.embed import backend
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = backend(cfg)
-        for pdf_ in batches:
-            rows = []
-            for key, path in zip(pdf_["content_hash"], pdf_["path"], strict=True):
-                try:
-                    text, why = model.describe_image(path) if os.path.exists(path) else ("", "file is gone")
-                except Exception as problem:
-                    text, why = "", f"caption failed: {problem}"
-                rows.append((key, clean(text), why or None))
-            yield pd.DataFrame(rows, columns=["content_hash", "caption", "error"])
-
-    return files.mapInPandas(run, "content_hash string, caption string, error string")
+        try:
+            for pdf_ in batches:
+                rows = []
+                for key, path in zip(pdf_["content_hash"], pdf_["path"], strict=True):
+                    began = time.perf_counter()
+                    try:
+                        text, why = model.describe_image(path) if os.path.exists(path) else ("", "file is gone")
+                    except Exception as problem:
+                        text, why = "", f"caption failed: {problem}"
+                    rows.append((key, clean(text), why or None, time.perf_counter() - began))
+                yield pd.DataFrame(rows, columns=["content_hash", "caption", "error", "seconds"])
+        finally:
+            model.release()
+
+    return files.mapInPandas(run, "content_hash string, caption string, error string, seconds double")
 
 
 def hash_and_extract(files: DataFrame, cfg: Config) -> DataFrame:
-    """For files (id, path, ext, size_bytes): content_hash, text, source_kind, outcome (null while open) and reason."""
-
+    """For files (id, path, ext, size_bytes): content_hash, text, source_kind, outcome (null while open) and reason, with the
+    seconds of hashing and of reading (null where a stage wasn't reached) and the size."""
     from driftnet.embed import backend
+    from driftnet.operators.geo import place_finder
 
-    def one(id_, path, ext, size):
+    def one(id_, path, ext, size, times):
         kind = classify(ext, cfg)
         if kind == "unsupported":
             return id_, None, None, None, "unsupported", None
         if not os.path.exists(path):
             return id_, None, None, None, "missing", None
+        began = time.perf_counter()
         try:
             digest = file_hash(path, int(size or 0))
         except OSError as problem:
             return id_, None, None, None, "failed", f"read failed: {problem}"
+        finally:
+            times.append(time.perf_counter() - began)
         if kind == "document":
             text, why = document(path, ext, int(size or 0), cfg.ocr_languages)
         elif kind == "image":
             if (size or 0) < cfg.image_skip_below:
                 return id_, digest, None, None, "skipped", "below image size threshold"
-            text, why, kind = describe_image(path), "", "image_meta"
+            text, why, kind = describe_image(path, cfg.ocr_languages, place_finder(cfg.cities_file) if cfg.cities_file else None), "", "image_meta"
         else:
             text, why = backend(cfg).transcribe(path)
             if not why and not text.strip():
@@ -242,7 +277,15 @@ def hash_and_extract(files: DataFrame, cfg: Config) -> DataFrame:
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf_ in batches:
-            rows = [one(*r) for r in pdf_[["id", "path", "ext", "size_bytes"]].itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=["id", "content_hash", "text", "source_kind", "outcome", "reason"])
-
-    return files.mapInPandas(run, "id long, content_hash string, text string, source_kind string, outcome string, reason string")
+            rows = []
+            for id_, path, ext, size in pdf_[["id", "path", "ext", "size_bytes"]].itertuples(index=False):
+                times: list[float] = []
+                began = time.perf_counter()
+                row = one(id_, path, ext, size, times)
+                hashed = times[0] if times else None
+                rows.append((*row, hashed, time.perf_counter() - began - hashed if times else None, None if pd.isna(size) else int(size)))
+            table = pd.DataFrame(rows, columns=["id", "content_hash", "text", "source_kind", "outcome", "reason", "hash_seconds", "read_seconds", "bytes"])
+            table["bytes"] = table["bytes"].astype("Int64")
+            yield table
+
+    return files.mapInPandas(run, "id long, content_hash string, text string, source_kind string, outcome string, reason string, hash_seconds double, read_seconds double, bytes long")
