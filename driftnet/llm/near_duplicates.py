@@ -361,7 +361,7 @@ def in_reach(size: np.ndarray, far: np.ndarray, starts: np.ndarray, n: np.ndarra
 
 _MASK = (1 << FINE) - 1
 #: Filings handled at once.
-ROWS = 1 << 18
+ROWS = 1 << 20
 
 
 def _large(frames: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
