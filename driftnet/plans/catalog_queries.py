@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from driftnet.config import AUDIO_EXT, DOCUMENT_EXT, IMAGE_EXT, STATUSES, VIDEO_EXT, Config
-from driftnet.embed import embed_column
 from driftnet.functions import columns as C
 from driftnet.functions import vectors as V
 from driftnet.operators import crawl, enrich, geo, maintenance, search, status
-from driftnet.runtime import table
+from driftnet.runtime import forget, shared_dir, spread, table
 from driftnet.sources.extract import hash_and_extract
 from driftnet.sources.walk import walk_files
 
@@ -164,7 +164,7 @@ def q24_orphans(s, d):
 
 
 def q25_recent_timings(s, d):
-    return maintenance.keep_recent(_tim(s, d)).select("id", "source_kind", "stage", "seconds")
+    return maintenance.keep_recent(_tim(s, d), 1000).select("id", "source_kind", "stage", "seconds")
 
 
 def q26_finish(s, d):
@@ -222,15 +222,20 @@ def q34_embed_clip(s, d):
 
 
 def q35_work_saved(s, d):
-    c = _cat(s, d).where("content_hash is not null")
-    known = c.join(_emb(s, d).select("content_hash"), "content_hash", "left_semi")
-    return known.agg(F.count(F.lit(1)).alias("files"), F.countDistinct("content_hash").alias("contents"), (F.count(F.lit(1)) - F.countDistinct("content_hash")).alias("saved"))
+    """The dedup probe against the stored documents: rows whose content is known, and one row of each content that isn't."""
+    c = _cat(s, d).where("content_hash is not null").select("id", "path", "ext", "size_bytes", "content_hash")
+    known, fresh = enrich.already_known(c, _emb(s, d).where("source_kind = 'document'"))
+    return known.select("id", "content_hash", F.lit("known").alias("work")).unionByName(fresh.select("id", "content_hash", F.lit("fresh").alias("work")))
 
 
 def q36_model_guard(s, d):
-    e = _emb(s, d)
-    guard = lambda model: F.coalesce(F.bool_and(F.col("model") == model), F.lit(True))
-    return e.agg(guard("lumen-embed-128").alias("same"), guard("other").alias("other"), (F.count(F.lit(1)) == 0).alias("nothing_stored"))
+    """The guard's answers for the stamped model, another one, another length, no stamp, and an empty store."""
+    e, stamp = _emb(s, d), {"embed_model": "one", "embed_dim": "128"}
+    answers = [
+        maintenance.model_matches(stamp, "one", 128, e), maintenance.model_matches(stamp, "two", 128, e), maintenance.model_matches(stamp, "one", 64, e),
+        maintenance.model_matches({}, "two", 64, e), maintenance.model_matches(stamp, "two", 128, e.limit(0)),
+    ]
+    return s.createDataFrame([tuple(answers)], "same boolean, other boolean, other_dim boolean, unstamped boolean, empty boolean")
 
 
 def q37_timing_by_stage(s, d):
@@ -266,29 +271,41 @@ def q41_crawl_snapshot(s, d):
     return out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.max("id").alias("top"), F.count_if(F.col("deleted_at").isNotNull()).alias("deleted"), F.sum(F.coalesce("size_bytes", F.lit(0))).alias("bytes"))
 
 
-def _tree() -> str:
-    """A small folder of files to walk, on this machine: walks need real files."""
-    root = os.path.join(tempfile.gettempdir(), "driftnet-tree")
-    for name, text in (("a/keep.txt", "some words that are kept\n"), ("a/b/page.html", "<p>a page with markup</p>"), ("node_modules/x.txt", "left out, always so"), ("mail.eml", "From: a@b.example\nSubject: hello\n\nbody of the mail\n"), ("._fork.txt", "left out as a fork")):
-        path = os.path.join(root, name)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "w") as f:
-            f.write(text)
+def _tree(s, d) -> str:
+    """Every text of documents as a file of a folder a source in the shared storage, written on the executors, beside files that a walk leaves out."""
+    root = os.path.join(shared_dir(s).removeprefix("file://").removeprefix("file:"), "driftnet", f"tree-{uuid.uuid4().hex}")
+    if "://" in root:
+        raise ValueError("a walk needs a shared folder that is mounted")
+
+    def write(batches):
+        for pdf in batches:
+            for doc, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"], strict=True):
+                folder = os.path.join(root, re.sub(r"\W", "_", source or "none"))
+                os.makedirs(os.path.join(folder, "node_modules"), exist_ok=True)
+                for name in (f"{doc}.txt", f"._{doc}.txt", f"node_modules/{doc}.txt"):
+                    with open(os.path.join(folder, name), "w", encoding="utf-8", newline="") as f:
+                        f.write(text or "")
+            yield pdf[["doc_id"]]
+
+    spread(table(s, d, "documents").select("doc_id", "source", "text")).mapInPandas(write, "doc_id long").count()
+    forget(s, "file://" + root)
     return root
 
 
 def q42_walk_and_extract(s, d):
     """Files found by the walk source, hashed and extracted on the executors."""
-    files, _, _ = walk_files(s, [_tree()])
+    files, _, _ = walk_files(s, [_tree(s, d)])
     name = C.file_name(F.col("path"))
     rows = files.select(F.xxhash64("path").alias("id"), "path", C.extension(name).alias("ext"), "size_bytes")
-    return hash_and_extract(rows, Config()).join(rows.select("id", "path"), "id").select(C.file_name(F.col("path")).alias("name"), "text", "source_kind", "outcome")
+    return hash_and_extract(rows, Config()).join(rows.select("id", "path"), "id").select(C.file_name(F.col("path")).alias("name"), F.md5("text").alias("digest"), "source_kind", F.coalesce("outcome", F.lit("open")).alias("outcome"))
 
 
 def q43_reindex(s, d):
-    """Every stored text embedded again by the default backend."""
-    new, _ = maintenance.reindex(_emb(s, d), _vec(s, d).dropDuplicates(["content_hash"]), embed_column(Config()))
-    return new.select("content_hash", F.size("embedding").alias("dim"), F.round(V.norm(F.col("embedding")), 3).alias("norm"))
+    """Every stored text embedded again by a model that fails on short texts, where the old vector stays."""
+    n = F.char_length("extracted_text")
+    model = lambda t: F.struct(F.when(F.char_length(t) > 400, F.array(F.char_length(t).cast("float"), F.lit(1.0).cast("float"))).alias("embedding"), F.when(F.coalesce(n, F.lit(0)) <= 400, "too short").alias("error"))
+    new, failed = maintenance.reindex(_emb(s, d), _vec(s, d).groupBy("content_hash").agg(F.min("embedding").alias("embedding")), model)
+    return new.select("content_hash", F.size("embedding").alias("dim"), F.round(F.col("embedding")[0].cast("double"), 5).alias("first")).crossJoin(F.broadcast(failed))  # one row is sent
 
 
 def _list(values) -> str:
@@ -339,27 +356,28 @@ ORACLE = {
     "q22_crawl_stats": f"with {_DIFF} select count(*) filter (action in ('added', 'changed', 'requeued', 'seen')) seen, count(*) filter (action = 'added') added, count(*) filter (action in ('changed', 'requeued', 'seen')) updated, count(*) filter (action = 'tombstoned') tombstoned from j",
     "q23_purged": f"select id, path from file_catalog where deleted_at is null or deleted_at >= {NOW} - 90 * 86400",
     "q24_orphans": f"select content_hash from file_embedding e where not exists (select 1 from file_catalog c where c.content_hash = e.content_hash and (c.deleted_at is null or c.deleted_at >= {NOW} - 90 * 86400))",
-    "q25_recent_timings": "select id, source_kind, stage, \"seconds\" from enrich_timing where id >= (select max(id) - 20000 from enrich_timing)",
+    "q25_recent_timings": "select id, source_kind, stage, \"seconds\" from enrich_timing where id >= (select max(id) - 1000 from enrich_timing)",
     "q26_finish": f"""with o as (select id o_id, case when size_bytes is null then 'missing' when size_bytes < 2000 then 'skipped' when ext = 'pdf' then 'failed' when size_bytes > 20000 then 'done' else 'missing' end outcome from file_catalog where {_LIVE} and status in ('pending', 'failed'))
  select id, case when o_id is null then status when outcome = 'missing' then case when retry_count + 1 >= 3 then 'failed' else 'pending' end else outcome end status, case when outcome <> 'missing' then 'h' || id else content_hash end content_hash,
  case when o_id is null then retry_count when outcome in ('failed', 'missing') then retry_count + 1 else 0 end::int retry_count, case when o_id is null then error_reason when outcome = 'missing' then case when retry_count + 1 >= 3 then 'file unreadable after repeated attempts' else 'file unreadable at enrichment time' end when outcome = 'failed' then 'embed failed: x' end error_reason,
  case when o_id is null then last_attempt else {NOW} end last_attempt from file_catalog left join o on id = o_id""",
     "q27_failure_streak": "with r as (select id, coalesce(max(\"seconds\"), 9) < 0.01 ok, max(stage) = 'embed' m from enrich_timing group by id), i as (select *, sum(ok::int) over (order by id) g from r), s as (select sum((not ok and coalesce(m, false))::int) over (partition by g order by id) k from i) select max(k)::bigint longest, count(*) filter (k >= 25) tripped from s",
     "q28_snippet": "select content_hash, md5(substr(trim(regexp_replace(regexp_replace(extracted_text, '[^ -~\\s]', '', 'g'), '\\s+', ' ', 'g')), 1, 150)) line from file_embedding where extracted_text is not null",
-    "q29_normalize": "with n as (select content_hash, embedding e, sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))) n from vec_embedding where embedding is not null) select content_hash, len(e)::int dim, round(case when n > 0 then 1.0 else 0.0 end, 4)::double norm, round(case when n > 0 then (e[1]::double / n)::float::double else e[1]::double end, 5) \"first\" from n",
+    "q29_normalize": "with n as (select content_hash, embedding e, sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))) n from vec_embedding where embedding is not null), u as (select content_hash, list_transform(e, lambda x: case when n > 0 then (x::double / n)::float::double else x::double end) u from n) select content_hash, len(u)::int dim, round(sqrt(list_sum(list_transform(u, lambda y: y * y))), 4) norm, round(u[1], 5) \"first\" from u",
     "q30_nearest_place": f"with p as (select id, ((id * 37) % 170 - 85)::double lat, ((id * 53) % 360 - 180)::double lon from file_catalog), c(clat, clon, name) as (values {', '.join(str(x) for x in CITIES)}) select id, arg_min(name, power((((clon - lon + 180) % 360 + 360) % 360 - 180) * cos(radians(lat)), 2) + power(clat - lat, 2)) place from p, c group by id",
     "q31_degrees": "select id, round((id % 90 + (id % 60) / 60.0::double + (id * 7 % 60) / 3600.0::double) * case when length(filename) > 14 then -1 else 1 end, 8) + 0.0::double degrees from file_catalog",
     "q32_image_description": f"select id, concat_ws(chr(10), 'file: ' || split_part(path, '/', -2) || '/' || filename, 'taken: ' || strftime(to_timestamp(mtime::bigint - case when mtime::bigint > mtime then 1 else 0 end) at time zone 'UTC', '%Y:%m:%d'), 'camera: ' || nullif(error_reason, ''), case when coalesce(size_bytes, 0) > 0 then 'size: ' || size_bytes::bigint || 'x' || retry_count end) text from file_catalog where ext in ({_list(IMAGE_EXT)})",
     "q33_extension": "select id, split_part(path, '/', -1) name, lower(regexp_extract(split_part(path, '/', -1), '^\\.*[^.].*\\.([^.]*)$', 1)) ext from file_catalog",
     "q34_embed_clip": "select content_hash, length(substr(extracted_text, 1, 8000))::int n, md5(substr(extracted_text, 1, 8000)) digest from file_embedding where extracted_text is not null",
-    "q35_work_saved": "select count(*) files, count(distinct content_hash) contents, count(*) - count(distinct content_hash) saved from file_catalog where content_hash in (select content_hash from file_embedding)",
-    "q36_model_guard": "select coalesce(bool_and(model = 'lumen-embed-128'), true) same, coalesce(bool_and(model = 'other'), true) other, count(*) = 0 nothing_stored from file_embedding",
+    "q35_work_saved": "with k as (select content_hash from file_embedding where source_kind = 'document') select id, content_hash, 'known' as work from file_catalog where content_hash in (select * from k) union all select min(id), content_hash, 'fresh' from file_catalog where content_hash is not null and content_hash not in (select * from k) group by content_hash",
+    "q36_model_guard": "select true same, count(*) = 0 other, count(*) = 0 other_dim, true unstamped, true as \"empty\" from file_embedding",
     "q37_timing_by_stage": "select source_kind, stage, count(*) n, round(sum(\"seconds\"), 3) as \"seconds\", max(\"seconds\") slowest from enrich_timing group by 1, 2",
     "q38_store_upsert": f"with n as (select sha256(text) h, min(text) t from documents group by 1 union all select content_hash, extracted_text || '!' from file_embedding where extracted_text is not null) select coalesce(content_hash, h) content_hash, md5(case when h is not null then t else extracted_text end) digest, case when h is not null then 'document' else source_kind end source_kind, case when content_hash is null then 'new' else model end model, case when h is not null then length(t) else char_count end::bigint char_count, case when content_hash is null then {NOW} else created_at end created_at from file_embedding e full join n on e.content_hash = n.h",
     "q39_human_units": f"select id, {_SIZE} size, case when size_bytes / 100.0 < 90 then round_even(size_bytes / 100.0::double, 0)::bigint || 's' when size_bytes / 100.0 < 5400 then round_even(size_bytes / 100.0::double / 60, 0)::bigint || ' min' when size_bytes is not null then format('{{:.1f}}', size_bytes / 100.0::double / 3600) || ' h' end duration from file_catalog",
     "q40_captioned": "select content_hash, case when source_kind = 'image_meta' then 'image' else source_kind end source_kind, md5(case when source_kind = 'image_meta' and length(extracted_text) > 200 then 'a picture' || chr(10) || chr(10) || extracted_text else extracted_text end) digest, case when source_kind = 'image_meta' and length(extracted_text) > 200 then length(extracted_text) + 11 else char_count end::bigint char_count from file_embedding",
     "q41_crawl_snapshot": f"with {_DIFF} select count(*) n, count(*) ids, (select max(id) from file_catalog) + count(*) filter (action = 'added') top, count(*) filter (case when action = 'tombstoned' then true when action in ('added', 'changed', 'requeued', 'seen') then false else deleted_at is not null end) deleted, sum(coalesce(case when action in ('added', 'changed') then w_size else size_bytes end, 0))::bigint \"bytes\" from j",
-    "q43_reindex": "select content_hash, 128 dim, round(case when regexp_matches(extracted_text, '\\S') then 1.0 else 0.0 end, 3)::double norm from file_embedding where extracted_text is not null",
+    "q42_walk_and_extract": "select doc_id || '.txt' as name, case when regexp_matches(text, '\\S') then md5(text) end digest, 'document' source_kind, case when regexp_matches(text, '\\S') then 'open' else 'failed' end outcome from documents where octet_length(encode(text)) >= 16",
+    "q43_reindex": "with v as (select content_hash, min(embedding) v from vec_embedding group by 1), e as (select f.content_hash, case when length(extracted_text) > 400 then [length(extracted_text)::float, 1.0::float] else v end e from file_embedding f left join v on v.content_hash = f.content_hash) select content_hash, len(e)::int dim, round(e[1]::double, 5) as \"first\", (select count(*) from file_embedding where coalesce(length(extracted_text), 0) <= 400) failed from e where e is not null",
 }
 
 QUERIES = {
