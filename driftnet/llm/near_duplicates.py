@@ -44,6 +44,8 @@ MEET = 6
 FAN = 8
 #: Rows of a block of a large part.
 BLOCK = 8192
+#: Bits of the table that marks texts to be read again.
+MARK = 26
 #: Copies of a text in a block.
 COPIES = 1024
 #: Characters taken at once.
@@ -475,21 +477,62 @@ def _verify(batches: Iterable[pd.DataFrame], threshold: float) -> Iterator[pd.Da
         yield out[np.array(keep, dtype=bool)]
 
 
+def _mark(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(1 << MARK)).alias("mark")
+
+
+def marked(ids: DataFrame) -> np.ndarray:
+    """A table of bits, of fixed size, with those of the ids set; it tells which texts are worth reading again."""
+    width = 1 << 10
+
+    def union(frames: Iterable[tuple[int, bytes]]) -> pd.DataFrame:
+        out: dict[int, np.ndarray] = {}
+        for block, bits in frames:
+            new = np.frombuffer(zlib.decompress(bits), np.uint8)
+            out[block] = out[block] | new if block in out else new
+        return pd.DataFrame({"block": list(out), "bits": [zlib.compress(b.tobytes(), 1) for b in out.values()]}).astype({"block": "int32"})
+
+    def tally(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(1 << MARK - 3, np.uint8)
+        for pdf in batches:
+            mark = pdf["mark"].to_numpy()
+            np.bitwise_or.at(bits, mark >> 3, (1 << (mark & 7)).astype(np.uint8))
+        blocks = bits.reshape(-1, width)
+        used = np.flatnonzero(blocks.any(axis=1))
+        if len(used):
+            yield pd.DataFrame({"block": used.astype(np.int32), "bits": [zlib.compress(b.tobytes(), 1) for b in blocks[used]]})
+
+    schema = "block int, bits binary"
+    found = ids.select(_mark("id")).mapInPandas(tally, schema).repartition("block")
+    out = np.zeros((1 << MARK - 3) // width * width, np.uint8).reshape(-1, width)
+    for row in found.mapInPandas(lambda batches: iter([union((b, x) for pdf in batches for b, x in zip(pdf["block"], pdf["bits"], strict=True))]), schema).collect():
+        out[row.block] = np.frombuffer(zlib.decompress(row.bits), np.uint8)
+    return out.reshape(-1)
+
+
 def similar_sets(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(pairs of sets a, b, similarity; membership id, rep of the texts). Texts with equal sets share one rep."""
     members = materialize(features(df, key, text, threshold), "points")
     pairs = materialize(candidates(members, threshold), "candidates")
     clash = F.raise_error(F.lit("two sets share a 64-bit hash"))
     named = members.groupBy("rep").agg(F.when(F.min("check") == F.max("check"), F.min("id")).otherwise(clash).alias("id"))
-    need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(named, "rep"), "needed")
-    texts = _texts(df, key, text).join(need, "id")
+    marks = marked(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(named, "rep"))
+    sent = df.sparkSession.sparkContext.broadcast(marks)  # 1 << MARK bits at every size
 
     def again(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The sets of the texts whose mark is set: of all that are needed and some more. No text is moved."""
+        seen: set[int] = set()
         for pdf in batches:
-            sets = list(sets_of(pdf["text"]))
-            ok = [i for i, (s, rep) in enumerate(zip(sets, pdf["rep"], strict=True)) if s is not None and name_of(s)[0] == rep]  # a key may have several texts
-            yield pd.DataFrame({"rep": pdf["rep"].to_numpy()[ok], "s": [shortened(sets[i]) for i in ok]})
-
+            mark = pdf["mark"].to_numpy()
+            own = np.flatnonzero(sent.value[mark >> 3] >> (mark & 7) & 1)
+            rows = []
+            for sh in sets_of(pdf["text"].iloc[own]):
+                if sh is not None and (rep := name_of(sh)[0]) not in seen:
+                    seen.add(rep)
+                    rows.append((rep, shortened(sh)))
+            yield pd.DataFrame(rows, columns=["rep", "s"])
+
+    texts = spread(_texts(df, key, text).select(_mark("id"), "text"))
     sets = materialize(texts.mapInPandas(again, "rep long, s binary"), "runs")
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     good = both.mapInPandas(lambda batches: _verify(batches, threshold), "a long, b long, similarity double")
