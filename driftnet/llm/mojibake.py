@@ -180,7 +180,7 @@ def fix_run(before: str, run: str, after: str) -> str:
     best, least = run, start
     level = [run]
     for _ in range(LAYERS):
-        level = list(dict.fromkeys(fixed for r in level for fixed in _utf8_readings(r)))[:24]
+        level = list(dict.fromkeys(fixed for r in level for fixed in _utf8_readings(r)))
         for fixed in level:
             now = window_cost(before + fixed + after)
             if run.isalpha() and any(_script(c) == "cjk" for c in fixed):

@@ -176,6 +176,21 @@ def p8_fill(spark, sf_dir):
     )
 
 
+def p8_checked(spark, sf_dir):
+    """Of each pack size: containers over the capacity, texts that were cut though they fit, texts whose pieces leave a gap, texts
+    that come in no row, and rows without a container (texts without tokens)."""
+    lim = table(spark, sf_dir, "size_limits").select("limit_name", "max_size")
+    rows = materialize(p8_containers(spark, sf_dir), "packed").join(F.broadcast(lim), "limit_name")  # a row a limit
+    over = rows.where("container_id is not null").groupBy("limit_name", "container_id").agg((F.sum("size") > F.first("max_size")).alias("over"))
+    over = over.groupBy("limit_name").agg(F.count_if("over").alias("over_capacity"))
+    texts = rows.groupBy("limit_name", "item_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.max(F.col("start") + F.col("size")).alias("end"), F.first("max_size").alias("max_size"))
+    texts = texts.groupBy("limit_name").agg(
+        F.count(F.lit(1)).alias("texts"), F.count_if((F.col("n") > 1) & (F.col("size") <= F.col("max_size"))).alias("cut_needlessly"), F.count_if(F.col("size") != F.col("end")).alias("with_gaps")
+    )
+    empty = rows.groupBy("limit_name").agg(F.count_if(F.col("container_id").isNull()).alias("without_container"))
+    return texts.join(over, "limit_name").join(empty, "limit_name")
+
+
 def _mix(spark, sf_dir):
     targets = table(spark, sf_dir, "mix_targets")
     texts = mixing.sized_texts(table(spark, sf_dir, "documents"), targets, "doc_id", "source", "text", tokens.token_count(F.col("text")))
@@ -193,6 +208,24 @@ def p9_shares(spark, sf_dir):
     return mixing.reached_shares(*_mix(spark, sf_dir))
 
 
+def p9_checked(spark, sf_dir):
+    """Of each target with texts: uses above the cap, rows that repeat a text, and texts of another source."""
+    out, _, targets = _mix(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("own"), F.sha2("text", 256).alias("h"))
+    j = out.join(docs, "key").join(F.broadcast(targets.select("source", "max_repeats")), "source")  # a row a target
+    texts = j.groupBy("source", "h").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("uses"), F.first("max_repeats").alias("cap"), F.count_if(F.col("own") != F.col("source")).alias("misplaced"))
+    return texts.groupBy("source").agg(F.count_if(F.col("uses") > F.col("cap")).alias("over_cap"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum("misplaced").alias("misplaced"))
+
+
+def p7_bounds(spark, sf_dir):
+    """The exact percentiles of each source kind and stage, and whether the bounds merged from days hold them."""
+    exact = p7_stage_percentiles(spark, sf_dir)
+    merged = p7_merged_days(spark, sf_dir).select(F.col("source_kind").alias("k"), F.col("stage").alias("s"), F.col("p").alias("q"), "low", "high")
+    j = exact.join(merged, exact["source_kind"].eqNullSafe(F.col("k")) & exact["stage"].eqNullSafe(F.col("s")) & (exact["p"] == F.col("q")))
+    close = F.col("high") - F.col("low") <= F.abs(F.col("seconds")) * 2.0**-15 + 1e-300
+    return j.select("source_kind", "stage", "p", "n", "seconds", F.col("seconds").between(F.col("low"), F.col("high")).alias("held"), close.alias("close"))
+
+
 _TIMINGS = """
 with t as (select id, min(source_kind) as source_kind, min(stage) as stage, min("seconds") as "seconds", min("at") as at_ from enrich_timing group by id),
 r as (select source_kind, stage, {day} "seconds", row_number() over (partition by source_kind, stage{part} order by "seconds") rn,
@@ -217,6 +250,9 @@ QUERIES = {
     "p6_paragraphs": p6_paragraphs,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p8_checked": p8_checked,
+    "p9_checked": p9_checked,
+    "p7_bounds": p7_bounds,
     "p9_selection": p9_selection,
     "p9_shares": p9_shares,
     "p10_found": p10_found,
@@ -243,4 +279,7 @@ ORACLE = {
     "p5_files": "select cast(sum(length(extracted_text) + 2) as bigint) as characters, cast(0 as bigint) as over_limit from file_embedding",
     "p7_percentiles": _TIMINGS.format(day=f"{_DAY} as day,", part=f", {_DAY}", out="r.day,", error=", 0.0::double as error"),
     "p7_stage_percentiles": _TIMINGS.format(day="", part="", out="", error=""),
+    "p7_bounds": _TIMINGS.format(day="", part="", out="", error=", true as held, true as close"),
+    "p8_checked": "select limit_name, (select count(*) from documents) as texts, 0 as cut_needlessly, 0 as with_gaps, 0 as over_capacity, (select count(*) from documents where coalesce(text, '') = '') as without_container from size_limits where limit_name like 'pack_%' and unit = 'tokens'",
+    "p9_checked": "select source, 0 as over_cap, 0 as repeated, 0 as misplaced from (select distinct source from documents where text <> '') join mix_targets using (source) where target_share > 0 and max_repeats > 0",
 }
