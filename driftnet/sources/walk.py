@@ -1,8 +1,10 @@
-"""A Spark data source that walks folders: one task a root or first-level folder, directories pruned before they are entered."""
+"""A Spark data source that walks folders: folders are listed breadth first until there are enough to deal out, then walked by
+tasks; directories are pruned before they are entered."""
 
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor, TimeoutError
 
@@ -64,9 +66,15 @@ def walk(top: str, cfg: Config, recurse: bool = True) -> Iterator[tuple[str, int
             continue
 
 
+#: Folders to walk that are worth dealing out, and how many are listed at most to find so many.
+WANTED, LISTED = 1024, 2048
+#: Folders already listed whose own files one task takes.
+TOGETHER = 32
+
+
 class _Part(InputPartition):
-    def __init__(self, top: str, recurse: bool):
-        self.top, self.recurse = top, recurse
+    def __init__(self, tops: list[str], recurse: bool):
+        self.tops, self.recurse = tops, recurse
 
 
 class _WalkReader(DataSourceReader):
@@ -74,18 +82,21 @@ class _WalkReader(DataSourceReader):
         self.roots, self.cfg = roots, cfg
 
     def partitions(self) -> list[_Part]:
-        parts = []
-        for root in self.roots:
-            parts.append(_Part(root, False))
+        """A folder that holds nearly everything is split as far down as it takes."""
+        open_, listed = deque(self.roots), []
+        while open_ and len(open_) < WANTED and len(listed) < LISTED:
+            top = open_.popleft()
+            listed.append(top)
             try:
-                with os.scandir(root) as entries:
-                    parts += [_Part(e.path, True) for e in entries if e.is_dir(follow_symlinks=False) and _wanted_dir(e.name, self.cfg)]
+                with os.scandir(top) as entries:
+                    open_.extend(e.path for e in entries if not e.is_symlink() and e.is_dir(follow_symlinks=False) and _wanted_dir(e.name, self.cfg))
             except OSError:
                 continue
-        return parts
+        return [_Part(listed[i : i + TOGETHER], False) for i in range(0, len(listed), TOGETHER)] + [_Part([top], True) for top in open_]
 
     def read(self, part: _Part) -> Iterator[tuple]:
-        yield from walk(part.top, self.cfg, part.recurse)
+        for top in part.tops:
+            yield from walk(top, self.cfg, part.recurse)
 
 
 class WalkSource(DataSource):

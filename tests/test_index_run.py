@@ -7,6 +7,7 @@ from driftnet.config import STREAK_LIMIT, Config
 from driftnet.operators import geo, index, status
 from driftnet.operators.store import Store
 from driftnet.sources import extract
+from driftnet.sources import walk as walking
 
 NOW = 1_800_000_000.0
 
@@ -86,3 +87,20 @@ def test_an_unknown_model_is_an_error_of_a_search(spark, tmp_path):
     (tmp_path / "c.toml").write_text('backend = "nonsense"\n')
     with pytest.raises(ValueError, match="nonsense"):
         cli.main(["--store", str(tmp_path / "s"), "--config", str(tmp_path / "c.toml"), "search", "lease"])
+
+
+def test_a_deep_folder_is_dealt_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(walking, "WANTED", 6)
+    monkeypatch.setattr(walking, "TOGETHER", 2)
+    want = set()
+    for k in range(9):
+        folder = tmp_path / "one" / "two" / f"sub{k}" / "deep"
+        folder.mkdir(parents=True)
+        for f in (folder / "a.txt", folder.parent / "b.txt"):
+            f.write_text("x" * 30)
+            want.add(str(f))
+    (tmp_path / "one" / "c.txt").write_text("x" * 30)
+    reader = walking._WalkReader([str(tmp_path)], Config())
+    parts = reader.partitions()
+    assert sum(p.recurse for p in parts) == 9  # the nine below two listed folders
+    assert sorted(row[0] for p in parts for row in reader.read(p)) == sorted({*want, str(tmp_path / "one" / "c.txt")})
