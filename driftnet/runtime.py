@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -21,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a single machine) is a temporary folder chosen and set.
+    Only where the session names none and all tasks run in this process (tests, a single machine) is a temporary folder chosen
+    and set; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors reach in spark.checkpoint.dir")
         named = "file://" + tempfile.mkdtemp(prefix="driftnet-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -66,7 +70,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Give a scan at least one partition a core before Python work; no-op once the input is large. What comes out of a
     shuffle is left alone: it is spread already, and asking for its partitions would run it."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(x in plan for x in ("Aggregate", "Join", "Sort", "Repartition", "Window", "Distinct", "Limit")):
+    nodes = " ".join(m[1] for line in plan.splitlines() if (m := re.match(r"[\s:+|-]*(\w+)", line)))  # operators, not the names they hold
+    if any(x in nodes for x in ("Aggregate", "Join", "Sort", "Repartition", "Window", "Distinct", "Limit")):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
