@@ -1,9 +1,11 @@
-"""Command line: index, search, status, reindex over a store."""
+"""Command line: index, search, status, reindex, doctor over a store."""
 
 from __future__ import annotations
 
 import argparse
+import importlib.util
 import json
+import shutil
 import sys
 import time
 from datetime import UTC, datetime
@@ -16,6 +18,7 @@ from driftnet.embed import backend
 from driftnet.functions import columns as C
 from driftnet.operators import enrich, index, search, status
 from driftnet.operators.store import Store
+from driftnet.sources.walk import reachable
 
 
 def _index(store: Store, cfg, a) -> int:
@@ -64,6 +67,9 @@ def _status(store: Store, cfg, a) -> int:
     for r in status.folder_share(cat, cfg.folders or ["/"]).collect():
         print(f"{r['folder']}: {r['n']} ({r['share']:.0f}%)" + ("  most of the index" if r["dominant"] else ""))
     phase = status.next_phase(status.pending_by_phase(cat, emb, cfg))
+    captions = status.caption_queue_rows(cat, emb).select("content_hash").distinct().count()
+    if captions:
+        print(f"images without a caption: {captions}")
     if phase:
         row = status.backlog_estimate(cat, emb, tim, phase, cfg).first()
         print(f"next: {phase}, {row['n']} files" + (f", about {row['work_seconds']:.0f} s" if row["work_seconds"] else ""))
@@ -76,6 +82,31 @@ def _reindex(store: Store, cfg, a) -> int:
     return 1 if failed else 0
 
 
+TOOLS = {"tesseract": "text in images and scans", "pdftotext": "text of PDF files", "pdftoppm": "pages of scanned PDF files", "ffmpeg": "sound of recordings"}
+
+
+def _doctor(store: Store, cfg, a) -> int:
+    """What works here: tools, the model, folders, the store. 1 if indexing can't work at all."""
+    for tool, use in TOOLS.items():
+        print(f"{'ok' if shutil.which(tool) else 'missing':8} {tool}: {use}")
+    print(f"{'ok' if importlib.util.find_spec('PIL') else 'missing':8} Pillow: date, place and size of images")
+    fine = True
+    try:
+        model = backend(cfg)
+        got = len(model.embed(["a test"])[0])
+        fine = got == cfg.embed_dim
+        print(f"{'ok' if fine else 'wrong':8} model {model.model_id}: {got} values, {cfg.embed_dim} configured")
+        model.release()
+    except Exception as problem:
+        fine = False
+        print(f"{'failed':8} model {cfg.backend}: {problem}")
+    for folder in cfg.folders:
+        print(f"{'ok' if reachable(folder) else 'missing':8} folder {folder}")
+    stamp = store.meta().get("embed_model")
+    print(f"{'ok' if stamp else 'empty':8} store {store.root}" + (f", vectors of {stamp}" if stamp else ""))
+    return 0 if fine else 1
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="driftnet")
     p.add_argument("--store", required=True)
@@ -92,10 +123,11 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("-n", "--limit", type=int, default=20)
     s.add_argument("--json", action="store_true")
     sub.add_parser("status")
-    sub.add_parser("reindex")
+    sub.add_parser("reindex").add_argument("--embeddings", action="store_true", help="embed stored texts again (what it always does)")
+    sub.add_parser("doctor")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("driftnet").getOrCreate()
-    run = {"index": _index, "search": _search, "status": _status, "reindex": _reindex}[a.command]
+    run = {"index": _index, "search": _search, "status": _status, "reindex": _reindex, "doctor": _doctor}[a.command]
     return run(Store(spark, a.store), load(a.config), a)
 
 

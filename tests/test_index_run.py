@@ -104,3 +104,13 @@ def test_a_deep_folder_is_dealt_out(spark, tmp_path, monkeypatch):
     parts = reader.partitions()
     assert sum(p.recurse for p in parts) == 9  # the nine below two listed folders
     assert sorted(row[0] for p in parts for row in reader.read(p)) == sorted({*want, str(tmp_path / "one" / "c.txt")})
+
+
+def test_doctor(spark, tmp_path, capsys):
+    (tmp_path / "c.toml").write_text(f'folders = ["{tmp_path}", "{tmp_path}/gone"]\n')
+    base = ["--store", str(tmp_path / "s"), "--config", str(tmp_path / "c.toml")]
+    assert cli.main([*base, "doctor"]) == 0
+    out = capsys.readouterr().out
+    assert f"ok       folder {tmp_path}\n" in out and f"missing  folder {tmp_path}/gone" in out and "ok       model hashing-128: 128 values" in out and "empty    store" in out
+    (tmp_path / "c.toml").write_text('backend = "nonsense"\n')
+    assert cli.main([*base, "doctor"]) == 1
