@@ -26,6 +26,7 @@ EXCLUDED_DIR_SUFFIXES = (".dist-info", ".egg-info")
 EXCLUDED_FILE_PREFIXES = ("._", "~$", ".~lock.")
 EXCLUDED_FILES = {".DS_Store", "Thumbs.db", "desktop.ini", ".localized"}
 
+# Names, limits and defaults that stored catalogues and their users rely on.
 STATUSES = ("pending", "done", "failed", "unsupported", "skipped")
 PHASES = ("document", "image_meta", "audio", "image_caption")
 CHECK_SECONDS = 60
@@ -37,6 +38,7 @@ STREAK_LIMIT = 25
 
 @dataclass
 class Config:
+    # Fixed values, as above.
     folders: list[str] = field(default_factory=list)
     backend: str = "hashing"
     embed_model: str = "hashing-128"
