@@ -66,6 +66,13 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete a materialized table that nothing will read again."""
+    files = df.inputFiles()
+    if files:
+        _drop(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan at least one partition a core before Python work; no-op once the input is large. What comes out of a
     shuffle is left alone: it is spread already, and asking for its partitions would run it."""
