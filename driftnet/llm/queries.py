@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftnet.llm import emails, mixing, mojibake, near_duplicates, neighbours, packing, percentiles, residue, scans, splitting, tokens
@@ -209,12 +210,21 @@ def p9_shares(spark, sf_dir):
 
 
 def p9_checked(spark, sf_dir):
-    """Of each target with texts: uses above the cap, rows that repeat a text, and texts of another source."""
+    """Of each target with texts, and of any other source that the selection names: uses above the cap, rows that repeat a text,
+    and texts of another source or of none. A target of whose texts none was selected has a row too."""
     out, _, targets = _mix(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("own"), F.sha2("text", 256).alias("h"))
-    j = out.join(docs, "key").join(F.broadcast(targets.select("source", "max_repeats")), "source")  # a row a target
-    texts = j.groupBy("source", "h").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("uses"), F.first("max_repeats").alias("cap"), F.count_if(F.col("own") != F.col("source")).alias("misplaced"))
-    return texts.groupBy("source").agg(F.count_if(F.col("uses") > F.col("cap")).alias("over_cap"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum("misplaced").alias("misplaced"))
+    d = table(spark, sf_dir, "documents")
+    docs = d.select(F.col("doc_id").alias("key"), F.col("source").alias("own"), F.sha2("text", 256).alias("h"))
+    caps = F.broadcast(targets.where("target_share > 0 and max_repeats > 0").select("source", "max_repeats"))  # a row a target
+    # outer joins: a row of the selection without a document or a target is a fault, not a row to drop
+    j = out.join(docs, "key", "left").join(caps, "source", "left").withColumn("h", F.coalesce("h", F.col("key").cast("string")))
+    cap, misplaced = F.coalesce(F.first("max_repeats"), F.lit(0)), F.count_if(~F.col("own").eqNullSafe(F.col("source")))
+    texts = j.groupBy("source", "h").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("uses"), cap.alias("cap"), misplaced.alias("misplaced"))
+    everywhere = Window.partitionBy("h")  # a text that two sources hold is one text
+    texts = texts.withColumn("n", F.sum("n").over(everywhere)).withColumn("uses", F.sum("uses").over(everywhere))
+    found = texts.groupBy("source").agg(F.count_if(F.col("uses") > F.col("cap")).alias("over_cap"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum("misplaced").alias("misplaced"))
+    named = d.where("text <> ''").select("source").distinct().join(caps, "source").select("source")
+    return named.join(found, "source", "full").na.fill(0, ["over_cap", "repeated", "misplaced"])
 
 
 def p7_bounds(spark, sf_dir):

@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from driftnet.llm import mixing, packing, tokens
+from driftnet.llm import mixing, packing, queries, tokens
 
 
 def test_every_item_once_and_within_capacity(spark):
@@ -83,3 +83,27 @@ def test_mixture(spark):
     again = mixing.mix(texts, targets)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, out.collect()))
     assert mixing.mix(texts.limit(0), targets).count() == 0
+
+
+def _p9_tables(spark, folder, docs, targets):
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(targets, "source string, target_share double, max_repeats int").write.parquet(f"{folder}/mix_targets.parquet")
+
+
+def test_checked_names_targets_of_which_nothing_was_selected(spark, tmp_path):
+    # b: each of ten equal texts is large and expected 0.1 times; c: only a copy of a's text; d: a target of nothing; e: no target
+    docs = [(0, "a", "word"), *((i, "b", f"word {chr(96 + i)}") for i in range(1, 11)), (20, "c", "word"), (21, "d", "own"), (22, "e", "other"), (23, "f", "")]
+    _p9_tables(spark, tmp_path, docs, [("a", 0.4, 1), ("b", 0.4, 1), ("c", 0.1, 1), ("d", 0.0, 1), ("f", 0.1, 1)])
+    assert {r["source"] for r in queries.p9_selection(spark, str(tmp_path)).collect()} == {"a"}
+    got = sorted(map(tuple, queries.p9_checked(spark, str(tmp_path)).collect()))
+    assert got == [("a", 0, 0, 0), ("b", 0, 0, 0), ("c", 0, 0, 0)]
+
+
+def test_checked_tells_every_fault_of_a_selection(spark, tmp_path, monkeypatch):
+    docs = [(1, "a", "one"), (2, "a", "two"), (3, "a", "two"), (4, "b", "four"), (5, "e", "five"), (6, "a", "six"), (7, "c", "six"), (8, "c", "eight")]
+    _p9_tables(spark, tmp_path, docs, [("a", 0.4, 2), ("b", 0.3, 2), ("c", 0.3, 2)])
+    # over the cap; a text under two keys; a text of b; no such document; a source without a target; a text under two sources
+    rows = [(1, "a", 1, 3), (2, "a", 1, 1), (3, "a", 1, 1), (4, "a", 1, 1), (99, "a", 1, 1), (5, "e", 1, 1), (6, "a", 1, 2), (7, "c", 1, 1), (8, "c", 1, 2)]
+    monkeypatch.setattr(mixing, "mix", lambda *_: spark.createDataFrame(rows, "key long, source string, size long, copies int"))
+    got = sorted(map(tuple, queries.p9_checked(spark, str(tmp_path)).collect()))
+    assert got == [("a", 2, 2, 2), ("b", 0, 0, 0), ("c", 1, 1, 0), ("e", 1, 0, 0)]
