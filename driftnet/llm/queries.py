@@ -214,7 +214,8 @@ def p9_checked(spark, sf_dir):
     and texts of another source or of none. A target of whose texts none was selected has a row too."""
     out, _, targets = _mix(spark, sf_dir)
     d = table(spark, sf_dir, "documents")
-    docs = d.select(F.col("doc_id").alias("key"), F.col("source").alias("own"), F.sha2("text", 256).alias("h"))
+    docs = d.where("doc_id is not null").select(F.col("doc_id").alias("key"), F.col("source").alias("own"), F.sha2("text", 256).alias("h"))
+    docs = docs.repartition("key").distinct()  # a row delivered twice is one row; the join by key uses the same shuffle
     caps = F.broadcast(targets.where("target_share > 0 and max_repeats > 0").select("source", "max_repeats"))  # a row a target
     # outer joins: a row of the selection without a document or a target is a fault, not a row to drop
     j = out.join(docs, "key", "left").join(caps, "source", "left").withColumn("h", F.coalesce("h", F.col("key").cast("string")))

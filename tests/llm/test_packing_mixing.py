@@ -107,3 +107,12 @@ def test_checked_tells_every_fault_of_a_selection(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(mixing, "mix", lambda *_: spark.createDataFrame(rows, "key long, source string, size long, copies int"))
     got = sorted(map(tuple, queries.p9_checked(spark, str(tmp_path)).collect()))
     assert got == [("a", 2, 2, 2), ("b", 0, 0, 0), ("c", 1, 1, 0), ("e", 1, 0, 0)]
+
+
+def test_checked_counts_a_row_delivered_twice_once(spark, tmp_path):
+    docs = [(i, "ab"[i % 2], f"word {i}") for i in range(40)]
+    _p9_tables(spark, tmp_path, docs + docs[:3] + [(None, "a", "no id")] * 2, [("a", 0.5, 2), ("b", 0.5, 1)])
+    keys = [r["doc_id"] for r in queries.p9_selection(spark, str(tmp_path)).collect()]
+    assert len(set(keys)) == len(keys) > 30
+    got = sorted(map(tuple, queries.p9_checked(spark, str(tmp_path)).collect()))
+    assert got == [("a", 0, 0, 0), ("b", 0, 0, 0)]
